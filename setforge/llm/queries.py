@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import read_table
+from setforge.llm.shared import crc_bucket, read_table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from setforge.llm.langid import fit, predict
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +27,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.lm import score
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 7) == 2
+    return score(docs, ~held_out).withColumn("held_out", held_out)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.mixing import mix
+
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setforge.llm.quality_rules import quality_rules
 
@@ -25,9 +51,46 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(at[n]).alias(n) for n in names))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.fingerprints import fingerprint_with_next
+
+    return fingerprint_with_next(read_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from setforge.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.rule_ensemble import fit, score
+
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_pii": op2_pii,
+    "op4_lm": op4_lm,
+    "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 OP8_SQL = r"""
