@@ -27,6 +27,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from setforge.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setforge.llm.lm import score
 
@@ -84,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_lm": op4_lm,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
