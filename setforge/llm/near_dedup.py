@@ -6,14 +6,17 @@ of ``TREES`` groups of ``DEPTH`` values; every group is one sorted order of all
 classes.  Candidates are longest-common-prefix neighbours: in each order the
 ``WINDOW`` classes before a class, as long as they share ``LEAST`` values, and
 the first class of its region at growing depths, so that a region larger than
-the window is held together at the depth at which it falls apart.  Candidates
-are confirmed on the full sets, in two rounds: first one candidate a class,
-then those that still connect different components.
+the window is held together at the depth at which it falls apart.  Candidates whose
+signatures agree in five standard deviations less places than the threshold asks
+for are dropped (of a million links that loses less than one); the rest are
+confirmed on the full sets, in two rounds: first one candidate a class, then
+those that still connect different components.
 
 Scale: the orders are range partitioned on all their values and the id, so a
 group of copies is spread over tasks; no group is gathered anywhere.  Equal
 sets meet in a partially aggregated minimum.  Only classes with a candidate have
-their texts read again for full sets.
+their texts read again for full sets; a bit table of fixed size sifts out most
+others before texts are shuffled (a full one only costs work).
 
 Defined cases: null text or text without words is an empty set, linked with
 nothing; with fewer words than a shingle has, the whole sequence is the only
@@ -35,6 +38,8 @@ from setforge.llm.components import components
 from setforge.llm.shared import Shelf, as_bytes, map_batches
 
 TREES, DEPTH, LEAST, WINDOW = 20, 8, 4, 6
+#: Bits of the table that sifts documents.
+SIEVE = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 32, TREES * DEPTH, np.uint32) | np.uint32(1))[:, None]
@@ -73,7 +78,7 @@ def signature(hashed: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, key, sig); key and sig are null for empty sets."""
+    """(id, n, key, sig, brief); all but n are null for empty sets.  ``brief`` is the last byte of each value of ``sig``."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -82,15 +87,16 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
             for text in as_bytes(batch.column(1)):
                 hashed = shingles(text, width)
                 if len(hashed):
-                    rows.append((len(hashed), xxhash.xxh3_128_digest(hashed.tobytes()), signature(hashed).astype(">u4").tobytes()))
+                    sig = signature(hashed)
+                    rows.append((len(hashed), xxhash.xxh3_128_digest(hashed.tobytes()), sig.astype(">u4").tobytes(), sig.astype(np.uint8).tobytes()))
                 else:
-                    rows.append((0, None, None))
-            n, key, sig = zip(*rows)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "key", "sig"])
+                    rows.append((0, None, None, None))
+            n, *binary = zip(*rows)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in binary)], names=["id", "n", "key", "sig", "brief"])
 
         return one
 
-    return map_batches(docs.select(id_col, text_col), make, f"id {id_type}, n bigint, key binary, sig binary")
+    return map_batches(docs.select(id_col, text_col), make, f"id {id_type}, n bigint, key binary, sig binary, brief binary")
 
 
 def sorted_orders(classes: DataFrame) -> DataFrame:
@@ -199,10 +205,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, make, f"a {id_type}, b {id_type}")
 
 
+def agreeing(pairs: DataFrame, briefs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose signatures (one byte a value) agree often enough; ``briefs`` is (id, brief)."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+    n, p = TREES * DEPTH, percent / 100
+    least = n * (p - 5 * (p * (1 - p) / n) ** 0.5)
+    first = pairs.join(briefs.select(F.col("id").alias("a"), F.col("brief").alias("sa")), "a")
+    both = first.join(briefs.select(F.col("id").alias("b"), F.col("brief").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in (2, 3))
+            mask = pa.array((x == y).sum(axis=1) >= least)
+            return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+        return one
+
+    return map_batches(both, make, f"a {id_type}, b {id_type}")
+
+
+def _bits_of(ids: pa.Array) -> np.ndarray:
+    """Two places in the sieve for each id."""
+    found = np.fromiter((xxhash.xxh3_64_intdigest(str(x)) for x in ids.to_pylist()), np.uint64, len(ids))
+    return np.stack([found & np.uint64(SIEVE - 1), (found >> np.uint64(32)) & np.uint64(SIEVE - 1)]).astype(np.int64)
+
+
+def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (id, text) that may be among ``ids``: all that are, and few others."""
+    spark = docs.sparkSession
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SIEVE // 8, np.uint8)
+        for batch in batches:
+            at = _bits_of(batch.column(0)).reshape(-1)
+            np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(table)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], names=["place", "bits"])
+
+    held = ids.mapInArrow(bits, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(SIEVE // 8, np.uint8)
+    table[held["place"].to_numpy(np.int64)] = held["bits"].to_numpy(np.uint8)
+    sent = spark.sparkContext.broadcast(table)
+
+    def make():
+        table = sent.value
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = _bits_of(batch.column(0))
+            return batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).all(axis=0)))
+
+        return one
+
+    return map_batches(docs, make, docs.schema)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, hashes) for the documents named by ``ids``."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = sifted(wanted, ids).join(ids, "id", "left_semi")
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -218,10 +280,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shelf = Shelf(docs.sparkSession, "near")
     found = shelf.put(summaries(docs, id_col, text_col, width), "summaries")
     groups = found.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
-    mapped = found.join(groups, "key", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig"))
+    mapped = found.join(groups, "key", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), *(F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "brief")))
     mapped = shelf.put(mapped, "mapped")
     shelf.drop("summaries")
-    pairs = shelf.put(neighbours(sorted_orders(mapped.where("sig IS NOT NULL"))), "pairs")
+    classes = mapped.where("sig IS NOT NULL")
+    near = shelf.put(neighbours(sorted_orders(classes)), "neighbours")
+    pairs = shelf.put(agreeing(near, classes.select("id", "brief").dropDuplicates(["id"]), percent), "pairs")
+    shelf.drop("neighbours")
     named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = shelf.put(full_sets(docs, named, id_col, text_col, width), "sets")
     links = shelf.put(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "links-1")
