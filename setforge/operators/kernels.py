@@ -96,7 +96,7 @@ def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list
     """(keys..., reg, k) with a row for each key, register and task at most."""
     block(cfg)
     rows = df.where(F.col(element).isNotNull()).select(*keys, F.xxhash64(F.col(element).cast("string")).alias("__id"))
-    schema = StructType(list(rows.select(*keys).schema.fields)).add("reg", "int").add("k", "bigint" if isinstance(cfg, MinHash) else "int")
+    schema = StructType(list(rows.select(*keys).schema.fields)).add("reg", "integer").add("k", "long" if isinstance(cfg, MinHash) else "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, MarkedRegisters | MinRegisters] = {}
