@@ -229,8 +229,11 @@ def _compared(cfg, spark: SparkSession, sf: str, estimate) -> tuple[DataFrame, D
     return regs, wanted, joint.with_cardinalities(joint.pairs(cfg, regs, "key", wanted), estimate(cfg, regs, ["key"]), "key")
 
 
-def _spread(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select("k1", "k2", *(F.round(f"q.{c}", digits).alias(c) for c in joint.QUANTITIES))
+RATIOS = ("jaccard", "cosine", "inclusion1", "inclusion2", "alpha", "beta")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    return df.select("k1", "k2", *(F.round(f"q.{c}", 6 if c in RATIOS else 4).alias(c) for c in joint.QUANTITIES))
 
 
 def compared_sql(cfg, cardinalities: str) -> str:
@@ -250,8 +253,8 @@ def quantities_sql(jaccard: str, source: str = "p") -> str:
     return f"""j0 AS (SELECT k1, k2, n1, n2, greatest(0, least({jaccard}, n1 / n2, n2 / n1)) AS j FROM {source}),
 j1 AS (SELECT k1, k2, greatest(0, n1 - n2 * j) / (1 + j) AS d1, greatest(0, n2 - n1 * j) / (1 + j) AS d2, (n1 + n2) * j / (1 + j) AS i FROM j0)
 SELECT k1, k2, round(d1, 4) AS difference1, round(d2, 4) AS difference2, round(i, 4) AS intersection, round(d1 + i, 4) AS cardinality1, round(d2 + i, 4) AS cardinality2,
-round(d1 + d2 + i, 4) AS "union", round(i / (d1 + d2 + i), 4) AS jaccard, round(i / sqrt((d1 + i) * (d2 + i)), 4) AS cosine, round(i / (d1 + i), 4) AS inclusion1, round(i / (d2 + i), 4) AS inclusion2,
-round(d1 / (d1 + d2 + i), 4) AS alpha, round(d2 / (d1 + d2 + i), 4) AS beta FROM j1"""
+round(d1 + d2 + i, 4) AS "union", round(i / (d1 + d2 + i), 6) AS jaccard, round(i / sqrt((d1 + i) * (d2 + i)), 6) AS cosine, round(i / (d1 + i), 6) AS inclusion1, round(i / (d2 + i), 6) AS inclusion2,
+round(d1 / (d1 + d2 + i), 6) AS alpha, round(d2 / (d1 + d2 + i), 6) AS beta FROM j1"""
 
 
 _R = "SELECT * FROM r"
