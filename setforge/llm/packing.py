@@ -19,6 +19,7 @@ a document longer than a sequence is spread over several.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,46 +34,44 @@ from setforge.llm.shared import Shelf, as_texts
 
 LENGTH = 2048
 END = 1
-#: Word pieces whose ids a worker remembers.
-MEMO = 300_000
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in vocabularies of byte-level BPE: itself if it shows, else the next above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer as little-endian unsigned 32-bit bytes.
+    """Ids of a byte-level BPE tokenizer, special tokens' strings taken as ordinary text.
 
-    Such a tokenizer splits a text by a fixed pattern and encodes each part on
-    its own, so each distinct part is encoded once.  The split is done here only
-    for texts of Latin letters and common punctuation; others go whole to the
-    tokenizer, whose idea of letters then decides.
+    Where the vocabulary numbers its merges in their order, a faster library gives
+    the same ids from the same file.  It is used for texts of Latin letters and
+    common punctuation, on whose classes all Unicode versions agree; other texts
+    go to the tokenizer itself.
     """
 
     def __init__(self, path: str, pattern: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
-        self.plain = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-›]*").fullmatch
-        self.memo: dict[str, bytes] = {}
-
-    def _fresh(self, parts: list[str]) -> None:
-        for part, found in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            self.memo[part] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        split = [self.find(t) if self.plain(t) else None for t in texts]
-        new = {p for parts in split if parts for p in parts if p not in self.memo}
-        self._fresh(list(new))
-        memo = self.memo
-        out = [b"".join([memo[p] for p in parts]) if parts is not None else None for parts in split]
-        for i, found in enumerate(out):
-            if found is None:
-                ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-                out[i] = np.array(ids, "<u4").tobytes()
-        return out
+        self.other = regex.compile("[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u203a]").search
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        letters, special = byte_letters(), {t["content"] for t in held["added_tokens"]}
+        ranks = {bytes(letters[c] for c in word): i for word, i in held["model"]["vocab"].items() if word not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
+        ordered = all(held["model"]["vocab"].get(x + y) == 256 + k for k, (x, y) in enumerate(merges))
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ordered else None
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None and not self.other(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @cache
@@ -88,17 +87,17 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, encode = TaskContext.get().partitionId(), 0, encoder(path, pattern)
-        end = np.array([END], "<u4").tobytes()
+        part, before, encode = TaskContext.get().partitionId(), 0, encoder(path, pattern).encode
+        end = np.array([END], np.uint32)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                found = [np.frombuffer(x + end, "<u4") for x in encode.encode(as_texts(piece.column(1)))]
+                found = [np.concatenate([encode(t), end]) for t in as_texts(piece.column(1))]
                 ns = np.array([len(x) for x in found], np.int64)
                 starts = before + np.cumsum(ns) - ns
                 before += int(ns.sum())
                 small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"" for x in found]
-                large = [b"" if s else x.tobytes() for s, x in zip(small, found)]
+                large = [b"" if s else x.astype("<u4").tobytes() for s, x in zip(small, found)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(np.full(len(ns), part, np.int64)), pa.array(starts), pa.array(ns), pa.array(small, pa.binary()), pa.array(large, pa.binary())],
                     names=[id_col, "part", "before", "n", "ids16", "ids32"],
