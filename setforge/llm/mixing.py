@@ -103,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as ``mixed`` has copies of its id; ids are unique."""
-    copies = mixed.where("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies, F.col(id_col) == F.col("__id"))
+    """``docs`` with each row as often as ``mixed`` has copies of its id; of rows with equal ids the most copied decides."""
+    copies = mixed.where("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

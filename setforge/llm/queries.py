@@ -137,4 +137,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), e2 AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e2.b FROM r JOIN e2 ON e2.a = r.reach
+), m AS (
+  SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
