@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,17 +99,20 @@ def expected_counts(words: list[str], counts: np.ndarray, index: dict[str, int],
     """Expected piece counts by language; counts[word, language]."""
     out = np.zeros_like(probs)
     for at in by_length(words).values():
-        for k in range(0, len(at), 20_000):
-            part = at[k : k + 20_000]
+        for k in range(0, len(at), 5000):
+            part = at[k : k + 5000]
             lattice = Lattice(index, [words[i] for i in part], max_piece)
             alpha = forward(lattice, probs, len(part))
             beta = np.zeros_like(alpha)
             beta[-1] = counts[part] / np.maximum(alpha[-1], 1e-300)
+            shares = []
             for begin, end, ids in reversed(lattice.edges):
                 step = probs[ids] * beta[end]
-                for lang in range(probs.shape[1]):
-                    out[:, lang] += np.bincount(ids, alpha[begin, :, lang] * step[:, lang], len(out))
+                shares.append(alpha[begin] * step)
                 beta[begin] += step
+            ids, shares = np.concatenate([e[2] for e in reversed(lattice.edges)]), np.concatenate(shares)
+            for lang in range(probs.shape[1]):
+                out[:, lang] += np.bincount(ids, shares[:, lang], len(out))
     out[-1] = 0
     return out
 
@@ -138,17 +142,23 @@ def fit(labelled: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         rates = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_per_lang / n))).otherwise(rates)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rates * (1 << 20))
 
-    def counter():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found: dict[str, Counter] = defaultdict(Counter)
+    def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, Counter] = defaultdict(Counter)
+
+        def flushed() -> pa.RecordBatch:
+            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["lang", "word", "n"])
+
+        for batch in batches:
             for text, lang in zip(as_texts(batch.column(0)), batch.column(1).to_pylist()):
                 found[lang].update(words_of(text))
-            out = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["lang", "word", "n"]) if out else None
+            if sum(map(len, found.values())) > MEMO:
+                yield flushed()
+        if any(found.values()):
+            yield flushed()
 
-        return one
-
-    counted = map_batches(sample.select("text", "lang"), counter, "lang string, word string, n bigint")
+    counted = sample.select("text", "lang").mapInArrow(counter, "lang string, word string, n bigint")
     words = shelf.put(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     index = {p: i for i, p in enumerate(pieces)}
     probs = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
@@ -156,22 +166,31 @@ def fit(labelled: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((index, probs))
 
-        def expect(sent=sent):
+        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, probs = sent.value
+            total = np.zeros_like(probs)
+            row: dict[str, int] = {}
+            cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-            def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-                row: dict[str, int] = {}
-                ws = batch.column(1).to_pylist()
-                ids = [row.setdefault(w, len(row)) for w in ws]
+            def add() -> None:
                 counts = np.zeros((len(row), probs.shape[1]))
-                counts[ids, [at[x] for x in batch.column(0).to_pylist()]] = batch.column(2).to_numpy()
-                found = expected_counts(list(row), counts, index, probs, max_piece)
-                piece, lang = np.nonzero(found)
-                return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(found[piece, lang])], names=["piece", "lang", "n"])
-
-            return one
-
-        totals = map_batches(words, expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+                for word, lang, n in cells:
+                    np.add.at(counts, (word, lang), n)
+                np.add(total, expected_counts(list(row), counts, index, probs, max_piece), out=total)
+                row.clear()
+                cells.clear()
+
+            for batch in batches:
+                ids = np.array([row.setdefault(w, len(row)) for w in batch.column(1).to_pylist()], np.int64)
+                cells.append((ids, np.array([at[x] for x in batch.column(0).to_pylist()], np.int64), batch.column(2).to_numpy()))
+                if len(row) > 50_000:
+                    add()
+            if row:
+                add()
+            piece, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
+
+        totals = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(probs)
         counts[totals["piece"], totals["lang"]] = totals["n"]
         counts[:-1] += 0.05
