@@ -18,17 +18,19 @@ from setforge.llm.near_dedup import near_duplicates
 from setforge.llm.packing import pack
 from setforge.llm.pii import redact
 from setforge.llm.quality_rules import quality_rules
-from setforge.llm.shared import Shelf
+from setforge.llm.shared import Shelf, modest_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules for themselves and their host."""
+    modest_batches(spark)
     judged, at = quality_rules(docs)
     return judged.where(F.col(at["kept"])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 80 %."""
+    modest_batches(spark)
     verdicts = near_duplicates(docs, width=5, percent=80)
     gone = verdicts.where(~F.col("kept")).select("doc_id")
     # the rejected ids are written first, so that the planner knows their size
@@ -37,16 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and their new length."""
+    modest_batches(spark)
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    modest_batches(spark)
     return repeat(docs, mix(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
+    modest_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
