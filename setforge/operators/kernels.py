@@ -68,16 +68,26 @@ class MarkedRegisters:
 
 
 class MinRegisters:
-    """MinHash registers of 60 bits."""
+    """MinHash registers of 60 bits; blocks of hashes stay inside a core's cache."""
+
+    BLOCK = 1 << 16
 
     def __init__(self, cfg: MinHash):
         self.cfg, self.k = cfg, np.full(cfg.m, cfg.span, np.int64)
-        self.salt = _mix(np.arange(1, cfg.m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+        self.salt = (_mix(np.arange(1, cfg.m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
 
     def add(self, ids: np.ndarray) -> None:
-        ids = np.unique(ids)
-        for lo in range(0, len(ids), 4096):
-            np.minimum(self.k, (_mix(ids[lo : lo + 4096] ^ self.salt) >> np.uint64(4)).astype(np.int64).min(axis=1), out=self.k)
+        ids = _mix(np.unique(ids))
+        step = max(1, self.BLOCK // self.cfg.m)
+        x, y = (np.empty((step, self.cfg.m), np.uint64) for _ in range(2))
+        for lo in range(0, len(ids), step):
+            part = ids[lo : lo + step]
+            x, y = x[: len(part)], y[: len(part)]
+            np.multiply(part[:, None], self.salt, out=x)
+            np.right_shift(x, np.uint64(32), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint64(0xD6E8FEB86659FD93), out=x)
+            np.minimum(self.k, (x.min(axis=0) >> np.uint64(4)).astype(np.int64), out=self.k)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         reg = np.flatnonzero(self.k < self.cfg.span)
