@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 #: Text bytes for each bucket of step 1, of step 2, and for each part of the documents.
-HASH_BUCKET, SUFFIX_BUCKET, PART = 48 << 20, 12 << 20, 12 << 20
+HASH_BUCKET, SUFFIX_BUCKET, PART = 16 << 20, 12 << 20, 12 << 20
+#: Text bytes of the documents that step 1 packs together.
+CHUNK = 24 << 20
 #: Text bytes whose anchors are found at once.
 SLICE = 1 << 19
 NO_ID = (1 << 63) - 1
@@ -135,54 +138,69 @@ def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.T
 
 
 def anchor_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1, map side: for each batch and bucket the anchors of its documents."""
-
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            docs_, ordinals, hashes = [], [], []
-            for lo, hi in slices(texts):
-                _, starts, at, h = anchors(texts[lo:hi])
-                doc = np.searchsorted(starts, at, "right") - 1
-                first = np.searchsorted(doc, np.arange(hi - lo))
-                ordinals.append(np.arange(len(at)) - first[doc])
-                docs_.append(doc + lo)
-                hashes.append(h)
-            doc, ordinal, h = (np.concatenate(x) for x in (docs_, ordinals, hashes))
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
-                    held, counts = np.unique(doc[own], return_counts=True)
-                    places = ordinal[own]
-                    narrow = places.max() < 1 << 16
-                    rows.append((b, _bytes(key[held], np.int64), _bytes(ident[held], np.int64), _bytes(counts, np.uint32), _bytes(h[own] & np.uint64(0xFFFFFFFF), np.uint32), _bytes(places, np.uint16) if narrow else b"", b"" if narrow else _bytes(places, np.uint32)))
-            return _rows(rows, ["bucket", "keys", "ids", "counts", "hashes", "narrow", "wide"], [pa.int32(), *[pa.binary()] * 6]).combine_chunks().to_batches()[0] if rows else None
-
-        return one
-
-    return map_batches(docs.select("key", "id", "text"), make, "bucket int, keys binary, ids binary, counts binary, hashes binary, narrow binary, wide binary")
+    """Step 1, map side: for each chunk of documents and each bucket the anchors that fall into it."""
+    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "ids", "counts", "hashes", "narrow", "wide"))])
+
+    def packed(key: np.ndarray, ident: np.ndarray, texts: list[bytes]) -> list[pa.RecordBatch]:
+        docs_, ordinals, hashes = [], [], []
+        for lo, hi in slices(texts):
+            _, starts, at, h = anchors(texts[lo:hi])
+            doc = np.searchsorted(starts, at, "right") - 1
+            first = np.searchsorted(doc, np.arange(hi - lo))
+            ordinals.append((np.arange(len(at)) - first[doc]).astype(np.uint32))
+            docs_.append((doc + lo).astype(np.int32))
+            hashes.append(h)
+        doc, ordinal, h = (np.concatenate(x) for x in (docs_, ordinals, hashes))
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            own = order[cuts[b] : cuts[b + 1]]
+            if len(own):
+                held, counts = np.unique(doc[own], return_counts=True)
+                places = ordinal[own]
+                narrow = places.max() < 1 << 16
+                rows.append((b, _bytes(key[held], np.int64), _bytes(ident[held], np.int64), _bytes(counts, np.uint32), _bytes(low[own], np.uint32), _bytes(places, np.uint16) if narrow else b"", b"" if narrow else _bytes(places, np.uint32)))
+        return _rows(rows, schema.names, schema.types).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, idents, texts, size = [], [], [], 0
+        for batch in batches:
+            found = batch.column(2).cast(pa.binary()).to_pylist()
+            keys.append(batch.column(0).to_numpy())
+            idents.append(batch.column(1).to_numpy())
+            texts += found
+            size += sum(map(len, found))
+            if size >= CHUNK:
+                yield from packed(np.concatenate(keys), np.concatenate(idents), texts)
+                keys, idents, texts, size = [], [], [], 0
+        if texts:
+            yield from packed(np.concatenate(keys), np.concatenate(idents), texts)
+
+    return docs.select("key", "id", "text").mapInArrow(run, "bucket int, keys binary, ids binary, counts binary, hashes binary, narrow binary, wide binary")
 
 
 def shared_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     """Step 1, reduce side: (part, keys, counts, ordinals) of anchors whose hash two documents have."""
 
     def reduce(group: pa.Table) -> pa.Table:
-        ids, counts, hashes = (_joined(group[c], k) for c, k in (("ids", np.int64), ("counts", np.uint32), ("hashes", np.uint32)))
-        keys = _joined(group["keys"], np.int64)
-        ordinal = np.concatenate([np.frombuffer(n, np.uint16).astype(np.uint32) if n else np.frombuffer(w, np.uint32) for n, w in zip(group["narrow"].to_pylist(), group["wide"].to_pylist())])
-        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        hashes = _joined(group["hashes"], np.uint32)
         order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        hashes = hashes[order]
+        again = hashes[1:] == hashes[:-1]
+        order = order[np.append(again, False) | np.append(False, again)]  # most hashes occur once; only the others go on
+        hashes = hashes[np.append(again, False) | np.append(False, again)]
+        keys, ids, counts = (_joined(group[c], k) for c, k in (("keys", np.int64), ("ids", np.int64), ("counts", np.uint32)))
+        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        if not len(order):
+            return addressed(keys[:0], parts, ("ordinals", np.zeros(0), np.uint32))
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         of = ids[row[order]]
         several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
-        wanted = np.zeros(len(order), bool)
-        wanted[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+        wanted = np.sort(order[np.repeat(several, np.diff(np.append(first, len(order))))])
+        ordinal = np.concatenate([np.frombuffer(n, np.uint16).astype(np.uint32) if n else np.frombuffer(w, np.uint32) for n, w in zip(group["narrow"].to_pylist(), group["wide"].to_pylist())])
         row, ordinal = row[wanted], ordinal[wanted]
         return addressed(keys[row], parts, ("ordinals", ordinal, np.uint32))
 
