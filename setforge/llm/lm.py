@@ -12,8 +12,8 @@ words.  Class weights are trained in ``ROUNDS`` rounds, each over its own part o
 the training texts: every task takes AdaGrad steps from the round's weights over
 its batches, and the token-weighted mean of their updates is the next weights.
 
-Scale: words are counted by a partially aggregated sum.  Counts of the ``TOP``
-commonest words, a fixed number, are broadcast; counts of all others are joined
+Scale: words are counted by a partially aggregated sum.  Counts of the at most ``TOP``
+commonest words are broadcast; counts of all others are joined
 to the documents that hold them by 64-bit word hash.  Model tables have fixed
 sizes and are summed block by block in the cluster.
 
@@ -39,6 +39,7 @@ from setforge.llm.shared import Shelf, as_bytes, map_batches
 
 TOP, VOCABULARY, BUCKETS, CLASSES, BEFORE, FEATURES = 100_000, 8192, 1024, 32, 64, 1 << 14
 ROUNDS = 3
+RATE = 0.2
 END, START = VOCABULARY + BUCKETS, VOCABULARY + BUCKETS + 1
 ITEMS = END + 1
 BLOCK = 1 << 15
@@ -196,12 +197,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """The commonest words, by count: all above the lowest count that no more than ``most`` words exceed.
+
+    Counts are taken in steps of an eighth of a power of two, so that a table of
+    bounded size finds the limit, and only the words above it leave the cluster.
+    """
+    step = F.floor(F.log2("c") * 8)
+    sizes = dict(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    lowest, held = max(sizes, default=0) + 1, 0
+    while lowest - 1 in sizes or lowest > min(sizes, default=lowest):
+        held += sizes.get(lowest - 1, 0)
+        if held > most:
+            break
+        lowest -= 1
+    found = counts.where(step >= lowest).collect()
+    return sorted(found, key=lambda r: (-r["c"], r["word"]))
+
+
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """``texts`` has one column, the training texts; ``counts`` their stored word counts."""
     spark = texts.sparkSession
     ends = texts.count()
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    ranked = counts.orderBy(F.desc("c"), "word").limit(TOP).collect()
+    ranked = commonest(counts, TOP)
     top = [r["word"].encode() for r in ranked]
     vocabulary = top[:VOCABULARY]
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -241,7 +260,7 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
             vocabulary, classes, weights, bias = state.value
             items = Items(vocabulary)
             own, own_bias = weights.copy(), bias.copy()
-            seen, seen_bias = np.full_like(own, 1e-2), np.full_like(own_bias, 1e-2)
+            seen, seen_bias = np.ones_like(own), np.ones_like(own_bias)
             tokens = [0]
 
             def take(batch: pa.RecordBatch) -> None:
@@ -260,15 +279,14 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
                     feats = features(stream, part)
                     gap = class_probabilities(own, own_bias, feats)
                     gap[np.arange(len(part)), classes[stream[part]]] -= 1
-                    gap /= len(part)
                     flat = feats.reshape(-1)
                     for c in range(CLASSES):
                         grad = np.bincount(flat, np.tile(gap[:, c], 4), FEATURES).astype(np.float32)
                         seen[:, c] += grad * grad
-                        own[:, c] -= 0.3 * grad / np.sqrt(seen[:, c])
+                        own[:, c] -= RATE * grad / np.sqrt(seen[:, c])
                     grad = gap.sum(axis=0)
                     seen_bias[:] += grad * grad
-                    own_bias[:] -= 0.1 * grad / np.sqrt(seen_bias)
+                    own_bias[:] -= 0.1 * RATE * grad / np.sqrt(seen_bias)
                     tokens[0] += len(part)
 
             def give() -> np.ndarray:
