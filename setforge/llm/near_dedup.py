@@ -3,10 +3,11 @@
 A document is its set of word shingles.  Documents with equal sets are one
 class, represented by the smallest id.  Each class gets a minimum-hash signature
 of ``TREES`` groups of ``DEPTH`` values; every group is one sorted order of all
-classes.  Candidates are longest-common-prefix neighbours: in each order the
-``WINDOW`` classes before a class, as long as they share ``LEAST`` values, and
-the first class of its region at growing depths, so that a region larger than
-the window is held together at the depth at which it falls apart.  Candidates whose
+classes.  Candidates are longest-common-prefix neighbours.  A region is a run of
+classes that share ``LEAST`` values; in a region of up to ``WINDOW`` + 1 classes
+all are candidates of each other.  In a larger one each class is paired with its
+neighbour in the order and with the first class of the deepest region it shares
+with an earlier one, whose firsts are paired likewise.  Candidates whose
 signatures agree in five standard deviations less places than the threshold asks
 for are dropped (of a million links that loses less than one); the rest are
 confirmed on the full sets, in two rounds: first one candidate a class, then
@@ -124,54 +125,52 @@ def neighbours(orders: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the last rows of the batch before: key matrix and ids
-        leaders: dict[int, tuple] = {}  # depth: (key of the region, id of its first row)
+        open_: dict[int, tuple] = {}  # depth: (key of the region that may go on, its first id, its rows so far)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(n, DEPTH)
             key = np.column_stack([np.asarray(batch.column(0)).astype(np.int64), sig.astype(np.int64)])
-            ids = batch.column(2)
-            kept = 0
+            place, leader, carried = {}, {}, {}  # by depth: rows of the region before a row, index of its first row, id where that is gone
+            for depth in depths:
+                starts = np.ones(n, bool)
+                starts[1:] = (key[1:, : depth + 1] != key[:-1, : depth + 1]).any(axis=1)
+                first = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+                place[depth], leader[depth] = np.arange(n) - first, first
+                last = open_.get(depth)
+                if last is not None and (last[0] == key[0, : depth + 1]).all():
+                    goes_on = first == 0
+                    place[depth][goes_on] += last[2]
+                    leader[depth][goes_on] = -1
+                    carried[depth] = last[1]
+                own = leader[depth][-1]
+                open_[depth] = (key[-1, : depth + 1].copy(), carried[depth] if own < 0 else batch.column(2)[int(own)].as_py(), int(place[depth][-1]) + 1)
+            ids, shift = batch.column(2), 0
             if before is not None:
-                kept = len(before[0])
-                key, ids = np.concatenate([before[0], key]), pa.concat_arrays([before[1], ids])
-            pairs: list[tuple[np.ndarray, np.ndarray]] = []
-            at = np.arange(kept, len(key))
+                shift, ids = len(before), pa.concat_arrays([before, ids])
+            ones, twos = [], []
             for back in range(1, WINDOW + 1):
-                later = at[at >= back]
-                same = (key[later, : LEAST + 1] == key[later - back, : LEAST + 1]).all(axis=1)
-                if not same.any():
-                    break
-                pairs.append((later[same] - back, later[same]))
-            extra: list[tuple] = []
-            for depth in depths:
-                starts = np.ones(len(at), bool)
-                if len(at) > 1:
-                    starts[1:] = (key[at[1:], : depth + 1] != key[at[:-1], : depth + 1]).any(axis=1)
-                first = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-                leader = at[first]
-                carried = leaders.get(depth)
-                run_end = len(at)
-                if len(at) and carried is not None and (carried[0] == key[at[0], : depth + 1]).all():
-                    nxt = np.flatnonzero(starts[1:])
-                    run_end = int(nxt[0]) + 1 if len(nxt) else len(at)
-                    extra += [(carried[1], i) for i in at[:run_end]]
-                    far = at - leader > WINDOW
-                    far[:run_end] = False
-                else:
-                    far = at - leader > WINDOW
-                    carried = None
-                if far.any():
-                    pairs.append((leader[far], at[far]))
-                if not (carried is not None and run_end == len(at)):
-                    leaders[depth] = (key[leader[-1], : depth + 1].copy(), ids[int(leader[-1])])
-            a = ids.take(pa.array(np.concatenate([p[0] for p in pairs]))) if pairs else ids.slice(0, 0)
-            b = ids.take(pa.array(np.concatenate([p[1] for p in pairs]))) if pairs else ids.slice(0, 0)
-            if extra:
-                a = pa.concat_arrays([a, pa.array([x[0].as_py() for x in extra], ids.type)])
-                b = pa.concat_arrays([b, ids.take(pa.array([int(x[1]) for x in extra]))])
-            before = key[-WINDOW:].copy(), ids.slice(max(0, len(key) - WINDOW))
+                near = place[LEAST] >= back
+                if back > 1:
+                    near &= place[LEAST] <= WINDOW
+                rows = np.flatnonzero(near)
+                rows = rows[rows + shift >= back]
+                ones.append(rows + shift - back)
+                twos.append(rows + shift)
+            a, b = ids.take(pa.array(np.concatenate(ones))), ids.take(pa.array(np.concatenate(twos)))
+            far = place[LEAST] > WINDOW
+            for depth in reversed(depths):
+                rows = np.flatnonzero(far & (place[depth] > 0))
+                far[rows] = False
+                gone = leader[depth][rows] < 0
+                held = rows[~gone]
+                parts = [(ids.take(pa.array(leader[depth][held] + shift)), ids.take(pa.array(held + shift)))]
+                if gone.any():
+                    parts.append((pa.array([carried[depth]] * int(gone.sum()), ids.type), ids.take(pa.array(rows[gone] + shift))))
+                for x, y in parts:
+                    a, b = pa.concat_arrays([a, x]), pa.concat_arrays([b, y])
+            before = ids.slice(max(0, len(ids) - WINDOW))
             if len(a):
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
