@@ -5,17 +5,22 @@ class, represented by the smallest id.  Each class gets a minimum-hash signature
 of ``TREES`` groups of ``DEPTH`` values; every group is one sorted order of all
 classes.  Candidates are longest-common-prefix neighbours.  A region is a run of
 classes that share ``LEAST`` values; in a region of up to ``WINDOW`` + 1 classes
-all are candidates of each other.  In a larger one each class is paired with its
-neighbour in the order and with the first class of the deepest region it shares
-with an earlier one, whose firsts are paired likewise.  Candidates whose
+all are candidates of each other.  In a larger one each class is first paired with
+its neighbour in the order and with the first class of the deepest region it
+shares with an earlier one, whose firsts are paired likewise.  Candidates whose
 signatures agree in five standard deviations less places than the threshold asks
 for are dropped (of a million links that loses less than one); the rest are
 confirmed on the full sets, in two rounds: first one candidate a class, then
-those that still connect different components.
+those that still connect different components.  Larger regions, and those a
+partition boundary may have cut, then go through an exact pass: all pairs of
+their classes that lie in different components are compared on the full sets.
 
 Scale: the orders are range partitioned on all their values and the id, so a
-group of copies is spread over tasks; no group is gathered anywhere.  Equal
-sets meet in a partially aggregated minimum.  Only classes with a candidate have
+group of copies is spread over tasks; no group is gathered anywhere.  The exact
+pass deals a region out in cells of bounded size, each of some classes outside
+the region's largest component against some of all; its cost is the product of
+these two numbers, so a group found in one component costs nothing, and only a
+large one that does not link costs the square of its size.  Equal sets meet in a partially aggregated minimum.  Only classes with a candidate have
 their texts read again for full sets; a bit table of fixed size sifts out most
 others before texts are shuffled (a full one only costs work).
 
@@ -39,6 +44,10 @@ from setforge.llm.components import components
 from setforge.llm.shared import Shelf, as_bytes, map_batches
 
 TREES, DEPTH, LEAST, WINDOW = 20, 8, 4, 6
+#: Trees of each round of the exact pass; the first ones leave little to the others.
+ROUNDS = (range(4), range(4, TREES))
+#: Hashes on each side of a cell of the exact pass, about.
+CELL = 1 << 17
 #: Bits of the table that sifts documents.
 SIEVE = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +127,23 @@ def sorted_orders(classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "sig", "id").sortWithinPartitions("tree", "sig", "id")
 
 
+def _regions(key: np.ndarray) -> np.ndarray:
+    """A number for the region of each row of (tree, value, value, ...)."""
+    out = np.zeros(len(key), np.uint64)
+    for column in key[:, : LEAST + 1].T:
+        out = (out ^ column.astype(np.uint64)) * _STEP
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
 def neighbours(orders: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the sorted orders."""
+    """Candidate pairs (a, b) of the sorted orders; other rows name an ``edge``, the region at an end of a partition."""
     id_type = orders.schema["id"].dataType.simpleString()
     depths = sorted({LEAST, (LEAST + DEPTH) // 2, DEPTH})
 
+    def edge(key: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, kind), pa.array(_regions(key))], names=["a", "b", "edge"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # the last rows of the batch before: key matrix and ids
         open_: dict[int, tuple] = {}  # depth: (key of the region that may go on, its first id, its rows so far)
@@ -132,6 +153,8 @@ def neighbours(orders: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(n, DEPTH)
             key = np.column_stack([np.asarray(batch.column(0)).astype(np.int64), sig.astype(np.int64)])
+            if before is None:
+                yield edge(key[:1], batch.column(2).type)
             place, leader, carried = {}, {}, {}  # by depth: rows of the region before a row, index of its first row, id where that is gone
             for depth in depths:
                 starts = np.ones(n, bool)
@@ -172,10 +195,79 @@ def neighbours(orders: DataFrame) -> DataFrame:
                     a, b = pa.concat_arrays([a, x]), pa.concat_arrays([b, y])
             before = ids.slice(max(0, len(ids) - WINDOW))
             if len(a):
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int64())], names=["a", "b", "edge"])
+        if before is not None:
+            yield edge(key[-1:], before.type)
+
+    found = orders.mapInArrow(run, f"a {id_type}, b {id_type}, edge bigint")
+    return found.where("a <> b OR edge IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "edge").distinct()
+
+
+def members(classes: DataFrame) -> DataFrame:
+    """(tree, region, id, n) of all classes in all orders."""
+    id_type = classes.schema["id"].dataType.simpleString()
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(n * TREES, DEPTH)
+            tree, at = np.tile(np.arange(TREES, dtype=np.int32), n), pa.array(np.repeat(np.arange(n), TREES))
+            region = _regions(np.column_stack([tree, sig[:, :LEAST].astype(np.int64)]))
+            return pa.RecordBatch.from_arrays([pa.array(tree), pa.array(region), batch.column(0).take(at), batch.column(1).take(at)], names=["tree", "region", "id", "n"])
+
+        return one
 
-    found = orders.mapInArrow(run, f"a {id_type}, b {id_type}")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return map_batches(classes.where("id IS NOT NULL").select("id", "n", "sig"), make, f"tree int, region bigint, id {id_type}, n bigint")
+
+
+def cells(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(region, i, j, minor, id, comp): for all pairs of ``rows`` in a region but not in a component, a cell (region, i, j) that holds both.
+
+    Each pair has a class outside the region's largest component; these are dealt over i and all classes over j.
+    """
+    rows = rows.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    held = rows.groupBy("region", "comp").agg(F.sum("n").alias("n"))
+    held = held.groupBy("region").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("most")).where("total > most.n")
+    held = held.select("region", F.col("most.comp").alias("major"), F.ceil((F.col("total") - F.col("most.n")) / CELL).alias("ni"), F.ceil(F.col("total") / CELL).alias("nj"))
+    open_ = rows.join(held, "region")
+    place = F.xxhash64("id", F.lit("cell"))
+    one = open_.where("comp <> major").select("region", F.pmod(place, "ni").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nj") - 1)).alias("j"), F.lit(True).alias("minor"), "id", "comp")
+    other = open_.select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ni") - 1)).alias("i"), F.pmod(place, "nj").alias("j"), F.lit(False).alias("minor"), "id", "comp")
+    return one.unionByName(other)
+
+
+def linked(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all components which any pair in a cell joins."""
+    id_type = cells.schema["id"].dataType.simpleString()
+    cells = cells.join(sets, "id").select("region", "i", "j", "minor", "id", "comp", "hashes")
+
+    def one(table: pa.Table) -> pa.Table:
+        minor, ids, comps = (table.column(c).to_pylist() for c in ("minor", "id", "comp"))
+        hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        sizes = np.array([len(h) for h in hashes])
+        number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+        group = np.array([number[c] for c in comps], np.int64)
+        right = np.array([k for k, m in enumerate(minor) if not m], np.int64)
+        a, b = [], []
+        if len(right):
+            distinct, inner = np.unique(np.concatenate([hashes[k] for k in right]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+            flags = np.zeros(len(distinct), np.int32)
+            for k in (k for k, m in enumerate(minor) if m):
+                at = np.minimum(np.searchsorted(distinct, hashes[k]), len(distinct) - 1)
+                at = at[distinct[at] == hashes[k]]
+                flags[at] = 1
+                common = np.add.reduceat(flags[inner], starts)
+                flags[at] = 0
+                for other in right[100 * common >= percent * (sizes[k] + sizes[right] - common)]:
+                    if group[other] != group[k]:
+                        group[group == group[other]] = group[k]
+                        a.append(min(ids[k], ids[other]))
+                        b.append(max(ids[k], ids[other]))
+        kind = table.schema.field("id").type
+        return pa.table([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return cells.groupBy("region", "i", "j").applyInArrow(one, f"a {id_type}, b {id_type}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +376,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shelf.drop("summaries")
     classes = mapped.where("sig IS NOT NULL")
     near = shelf.put(neighbours(sorted_orders(classes)), "neighbours")
-    pairs = shelf.put(agreeing(near, classes.select("id", "brief").dropDuplicates(["id"]), percent), "pairs")
+    pairs = shelf.put(agreeing(near.where("edge IS NULL").select("a", "b"), classes.select("id", "brief").dropDuplicates(["id"]), percent), "pairs")
+    rows = members(classes)
+    crowded = rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).join(near.where("edge IS NOT NULL").select(F.col("edge").alias("region"), F.lit(True).alias("cut")).distinct(), "region", "left")
+    crowded = crowded.where(F.col("rows") > F.when(F.col("cut"), 1).otherwise(WINDOW + 1)).select("region")
+    crowded = shelf.put(rows.join(shelf.put(crowded, "regions"), "region", "left_semi"), "crowded")
     shelf.drop("neighbours")
     named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = shelf.put(full_sets(docs, named, id_col, text_col, width), "sets")
@@ -294,6 +390,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
     more = shelf.put(confirmed(left.join(tried, ["a", "b"], "left_anti"), sets, percent), "links-2")
-    parts = components(links.unionByName(more), shelf, "final")
+    links = links.unionByName(more)
+    parts = components(links, shelf, "second")
+    for turn, trees in enumerate(ROUNDS):
+        dealt = shelf.put(cells(crowded.where(F.col("tree").isin(*trees)), parts), f"cells-{turn}")
+        if dealt.isEmpty():
+            continue
+        held = full_sets(docs, dealt.select("id").distinct(), id_col, text_col, width)
+        more = shelf.put(linked(dealt, held, percent), f"exact-{turn}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = components(links, shelf, f"exact-{turn}-parts")
     out = mapped.join(parts, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

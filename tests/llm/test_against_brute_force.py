@@ -104,6 +104,25 @@ def test_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_large_stars_are_whole(spark):
+    rng = random.Random(21)
+    rows, sets = [], {}
+    for star, at in enumerate((0, 75, 150)):  # where the source's id lies among its edits
+        base = prose(rng, "en", 300).split()
+        for k in range(151):
+            own = list(base)
+            for e in () if k == at else range(5):
+                own[10 + 56 * e + rng.randrange(50)] = f"own{star}x{k}x{e}"
+            i = 1000 * star + k
+            rows.append((i, " ".join(own)))
+            w = lowered(" ".join(own)).split()
+            sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    want = brute_components(sets, 80)
+    assert set(want.values()) == {0, 1000, 2000}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_chains_are_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in components.components(edges, Shelf(spark, "t")).collect()}
