@@ -43,7 +43,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _BETWEEN = re.compile(r"(?:[ _-](?:number|no|id|key))?\.?[ \t]*(?:[:=#]|\bis\b)[ \t]*[\"']?", re.I)
-_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+~-]{4,126}[A-Za-z0-9=]")
+_VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_./+~-]{4,}[A-Za-z0-9=]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{2,4}){3,8}")
 _USERINFO = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 

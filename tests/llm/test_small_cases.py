@@ -62,6 +62,13 @@ def test_empty_tables(empty, name):
     assert OPERATORS[name](empty).collect() == []
 
 
+def test_long_secrets_are_whole():
+    for size in (128, 129, 300, 5000):
+        value = ("eyJ0a1-Z_9." * 500)[: size - 1] + "x"
+        assert pii.find_spans(f"token = {value} and more") == [("account", 8, 8 + size)]
+        assert pii.redacted(f"token = {value} and more") == "token = <ACCOUNT> and more"
+
+
 def test_packing_edges(docs, empty):
     assert packing.pack(empty, TOKENIZER).collect() == []
     found = packing.pack(docs, TOKENIZER).collect()
