@@ -19,7 +19,7 @@ Scale: the orders are range partitioned on all their values and the id, so a
 group of copies is spread over tasks; no group is gathered anywhere.  The exact
 pass deals a region out in cells of bounded size, each of some classes outside
 the region's largest component against some of all; its cost is the product of
-these two numbers, so a group found in one component costs nothing, and only a
+these two numbers, so a group found in one component is not dealt out, and only a
 large one that does not link costs the square of its size.  Equal sets meet in a partially aggregated minimum.  Only classes with a candidate have
 their texts read again for full sets; a bit table of fixed size sifts out most
 others before texts are shuffled (a full one only costs work).

@@ -123,6 +123,14 @@ def test_large_stars_are_whole(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_cut_regions_are_named(spark):
+    sig = bytes(range(32))
+    orders = spark.createDataFrame([(0, bytearray(sig), i) for i in range(6)], "tree int, sig binary, id bigint").repartitionByRange(3, "id").sortWithinPartitions("id")
+    edges = {r["edge"] for r in near_dedup.neighbours(orders).where("edge IS NOT NULL").collect()}
+    classes = spark.createDataFrame([(1, 9, bytearray(sig * near_dedup.TREES))], "id bigint, n bigint, sig binary")
+    assert edges == {r["region"] for r in near_dedup.members(classes).where("tree = 0").collect()}
+
+
 def test_chains_are_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in components.components(edges, Shelf(spark, "t")).collect()}
