@@ -175,6 +175,36 @@ def test_multikey_order():
     assert [tuple(k) for k in keys[order].tolist()] == sorted(tuple(k) for k in keys.tolist())
 
 
+def repeats_of(spark, rows):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+
+
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 0.0])
+def test_a_passage_in_half_of_all_documents(spark, monkeypatch, hot):
+    # the second run splits every gram that the sample has more than eight times
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+
+    def some(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    passage, pair = some(40), "therefore nevertheless"
+    rows = []
+    for i in range(2000):
+        body = some(rng.randint(5, 40))
+        rows.append((i * 7 % 2000, f"{body} {passage} {some(5)}" if i % 2 else f"{body} {pair} {some(9)} {pair}"))
+    rows += [(3000 + i, rows[i % 3][1]) for i in range(50)]
+    assert repeats_of(spark, rows) == brute_repeats(rows)
+
+
+def test_copies_keep_the_smallest_id_only(spark):
+    text = "the same sixty bytes or more of text in every one of these rows, twice"
+    rows = [(9, text), (4, text), (4, text), (7, text), (2, "short"), (3, "short"), (5, None)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in found) == sorted([(9, 70, 70), (4, 70, 0), (4, 70, 0), (7, 70, 70), (2, 5, 0), (3, 5, 0), (5, 0, 0)])
+
+
 # ---- personal data --------------------------------------------------------
 
 
