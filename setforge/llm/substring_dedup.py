@@ -453,14 +453,13 @@ def repeats(rows: DataFrame, ranges: int) -> DataFrame:
     return rows.repartitionById(ranges, "bucket").select("s", "id", "ref").mapInArrow(run, "part int, ref bigint, bits bigint")
 
 
-def covered(size: int, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which bytes of a text the repeated strings cover."""
-    step = np.zeros(size + 1, np.int32)
+def covered(starts: np.ndarray, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bytes of joined texts the repeated strings cover; ``starts`` has the end of the last text too, ``at`` are places in the whole."""
+    begins = np.zeros(starts[-1] + LENGTH, np.int32)
     for o in range(LEFT + 1):
-        start = at[(bits >> np.uint64(o) & np.uint64(1)).astype(bool)].astype(np.int64) - o
-        np.add.at(step, start, 1)
-        np.add.at(step, start + LENGTH, -1)
-    return np.cumsum(step[:-1]) > 0
+        begins[at[(bits >> np.uint64(o) & np.uint64(1)).astype(bool)] - o + LENGTH] = 1  # no two anchors have one string
+    so_far = np.cumsum(begins, dtype=np.int32)
+    return so_far[LENGTH:] > so_far[:-LENGTH]  # a string starts here or up to 49 bytes before; none crosses the end of its text
 
 
 def repeated_in(part: Part, refs: np.ndarray, replied: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -539,13 +538,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = Part(docs)
             refs, replied = (found["ref"].to_numpy(), found["bits"].to_numpy().view(np.uint64)) if found.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
             of, place, marked = repeated_in(part, refs, replied, hot_sent.value)
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(part.texts) + 1))
+            starts = np.cumsum([0, *(len(t) for t in part.texts)])
+            gone_at = covered(starts, starts[of] + place, marked)
+            hit = np.zeros(len(part.texts), bool)
+            hit[of] = True
             for k, (text, own) in enumerate(zip(part.texts, part.rows)):
-                at = order[cuts[k] : cuts[k + 1]]
                 removed, spans, kept = 0, 0, text
-                if len(at):
-                    gone = covered(len(text), place[at], marked[at])
+                if hit[k]:
+                    gone = gone_at[starts[k] : starts[k + 1]]
                     removed = int(gone.sum())
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()

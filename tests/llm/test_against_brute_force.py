@@ -342,6 +342,64 @@ def test_rare_words_come_from_the_join(docs, monkeypatch):
     assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
+def test_class_probabilities_and_gradient(monkeypatch):
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(size=(50, lm.CLASSES)), rng.normal(size=lm.CLASSES)
+    feats, classes = rng.integers(0, 50, (4, 30)), rng.integers(0, lm.CLASSES, 30)
+    p = lm.class_probabilities(weights, bias, feats)
+    assert np.allclose(p.sum(axis=1), 1)
+    want, want_bias = np.zeros_like(weights), np.zeros_like(bias)
+    for t in range(30):
+        logits = np.exp(weights[feats[:, t]].sum(axis=0) + bias)
+        assert np.allclose(p[t], logits / logits.sum())
+        gap = logits / logits.sum() - (np.arange(lm.CLASSES) == classes[t])
+        for f in feats[:, t]:
+            want[f] += gap
+        want_bias += gap
+    touched, grad, grad_bias = lm.gradient(weights, bias, feats, classes)
+    dense = np.zeros_like(want)
+    dense[touched] = grad
+    assert np.allclose(dense, want) and np.allclose(grad_bias, want_bias)
+
+
+def test_scores_are_the_models_probabilities(docs, texts, monkeypatch):
+    held = {}
+    trained = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: held.setdefault("model", trained(*a)))
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.lit(True)).collect()}
+    model = held["model"]
+    lexicon, counts = model.lexicon, collections.Counter(w for t, _ in texts for w in words(lowered(t)))
+    rank = {w.decode(): i for i, w in enumerate(lexicon.top)}
+    in_class = collections.defaultdict(float)
+    for item, c in enumerate(model.classes):
+        if item < lexicon.vocabulary:
+            in_class[c] += 10 ** model.token_log[item]
+    assert all(v < 1 + 1e-9 for v in in_class.values())
+    for i, (t, _) in list(enumerate(texts))[:25]:
+        own = words(lowered(t))
+        items = [rank[w] if rank.get(w, lexicon.vocabulary) < lexicon.vocabulary else lexicon.vocabulary + lm.bucket_of(w.encode()) for w in own] + [lexicon.end]
+        stream, total = np.array([lexicon.end + 1] * 3 + items), 0.0
+        for k, item in enumerate(items):
+            feats = lm.features(stream, np.array([k + 3]), lexicon.slots)
+            logits = model.weights[feats[:, 0]].sum(axis=0, dtype=np.float64) + model.bias
+            p = np.exp(logits - logits.max())
+            total += np.log10(p[model.classes[item]] / p.sum()) + model.token_log[item]
+            if lexicon.vocabulary <= item < lexicon.end:
+                total += np.log10(counts[own[k]] + 1)
+        assert got[i] == pytest.approx(total, rel=1e-5)
+
+
+def test_commonest_words_take_ties_in_order(spark):
+    counts = spark.createDataFrame([(f"w{k:03d}", 1) for k in range(50)] + [("many", 9), ("some", 8)], "word string, c bigint")
+    assert [r["word"] for r in lm.commonest(counts, 5)] == ["many", "some", "w000", "w001", "w002"]
+    assert len(lm.commonest(counts, 500)) == 52 and lm.commonest(counts.where("c > 99"), 5) == []
+
+
+def test_language_model_reruns_agree(docs):
+    one, two = ({r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(docs, F.col("doc_id") % 7 != 2).collect()} for _ in range(2))
+    assert one == two
+
+
 # ---- mixing, packing, fingerprints ---------------------------------------
 
 
