@@ -145,7 +145,7 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, feats: np.ndarray
     logits = weights[feats[0]] + bias
     for f in feats[1:]:
         logits += weights[f]
-    logits -= logits.max(axis=1, keepdims=True)
+    np.clip(logits, -80, 80, out=logits)  # far beyond what training reaches; exponents stay finite
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
@@ -157,9 +157,16 @@ def gradient(weights: np.ndarray, bias: np.ndarray, feats: np.ndarray, classes:
     gap[np.arange(len(classes)), classes] -= 1
     flat = feats.reshape(-1).astype(np.uint16 if len(weights) <= 1 << 16 else np.uint32)
     order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    return flat[first].astype(np.int64), np.add.reduceat(gap[order % len(classes)], first, axis=0), gap.sum(axis=0)
+    ascending = flat[order]
+    new = np.append(True, ascending[1:] != ascending[:-1])
+    touched = ascending[new].astype(np.int64)
+    place = np.empty(len(flat), np.int64)  # of each feature among those touched
+    place[order] = np.cumsum(new) - 1
+    place = place.reshape(feats.shape)
+    rows = np.empty((len(touched), gap.shape[1]), gap.dtype)
+    for c, column in enumerate(np.ascontiguousarray(gap.T).astype(np.float64)):
+        rows[:, c] = sum(np.bincount(p, column, len(touched)) for p in place)
+    return touched, rows, gap.sum(axis=0)
 
 
 @dataclass
