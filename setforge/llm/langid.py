@@ -16,8 +16,8 @@ met in a task are looked up.
 Defined cases: null text, empty text and text without a letter give ``und`` with
 score 0; rows with a null language or null text teach nothing; with nothing to
 learn from, every row is ``und``; ties go to the first language in code point
-order; runs of more than ``CHUNK`` letters are cut into chunks scored one by one,
-so texts without spaces take linear time; equal texts get equal results.
+order; a run of letters of any length is one word, summed over all its
+segmentations in time linear in its length; equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 
 from setforge.llm.shared import Shelf, as_texts, map_batches
 
-CHUNK = 32
 START = "▁"
-_WORD = re.compile(r"[^\W\d_]{1,%d}" % CHUNK)
+#: Words of up to so many letters are summed together, longer ones each on its own with logarithms.
+SHORT = 32
+#: Letters, and a few numerals such as fractions, which ``letters_of`` leaves out.
+_WORD = re.compile(r"[^\W\d_]+")
 #: Words a task keeps before it starts over.
 MEMO = 400_000
 UNKNOWN = 0
@@ -77,17 +79,55 @@ def forward(lattice: Lattice, probs: np.ndarray, n: int) -> np.ndarray:
     return alpha
 
 
-def by_length(words: list[str]) -> dict[int, list[int]]:
-    groups = defaultdict(list)
+class LongWord:
+    """All segmentations of one word, for sums in logarithms."""
+
+    def __init__(self, word: str, index: dict[str, int], log_probs: np.ndarray, max_piece: int):
+        self.size, self.log_probs, self.into = len(word), log_probs, []  # by end: (starts, piece ids)
+        for end in range(1, self.size + 1):
+            found = [(b, i) for b in range(max(0, end - max_piece), end) if (i := index.get(word[b:end], UNKNOWN if end - b == 1 else None)) is not None]
+            self.into.append((np.array([b for b, _ in found]), np.array([i for _, i in found])))
+
+    def forward(self) -> np.ndarray:
+        """log alpha[position, language]"""
+        alpha = np.full((self.size + 1, self.log_probs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for end, (begin, ids) in enumerate(self.into, 1):
+            alpha[end] = np.logaddexp.reduce(alpha[begin] + self.log_probs[ids], axis=0)
+        return alpha
+
+    def add_expected(self, out: np.ndarray, counts: np.ndarray) -> None:
+        """Add the expected piece counts of the word, seen ``counts`` times by language."""
+        alpha = self.forward()
+        beta = np.full_like(alpha, -np.inf)
+        beta[-1] = 0
+        for end in range(self.size, 0, -1):
+            begin, ids = self.into[end - 1]
+            step = self.log_probs[ids] + beta[end]
+            beta[begin] = np.logaddexp(beta[begin], step)
+            np.add.at(out, ids, np.exp(alpha[begin] + step - alpha[-1]) * counts)
+
+
+def by_length(words: list[str]) -> tuple[dict[int, list[int]], list[int]]:
+    """Places of short words by length, and those of long ones."""
+    groups, long = defaultdict(list), []
     for i, w in enumerate(words):
-        groups[len(w)].append(i)
-    return groups
+        (groups[len(w)] if len(w) <= SHORT else long).append(i)
+    return groups, long
+
+
+def _logs(probs: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(probs, 1e-300))
 
 
 def word_scores(words: list[str], index: dict[str, int], probs: np.ndarray, max_piece: int) -> np.ndarray:
     """log probability of each word in each language."""
     out = np.empty((len(words), probs.shape[1]))
-    for at in by_length(words).values():
+    groups, long = by_length(words)
+    logs = _logs(probs) if long else None
+    for i in long:
+        out[i] = LongWord(words[i], index, logs, max_piece).forward()[-1]
+    for at in groups.values():
         for k in range(0, len(at), 20_000):
             part = at[k : k + 20_000]
             alpha = forward(Lattice(index, [words[i] for i in part], max_piece), probs, len(part))
@@ -98,7 +138,11 @@ def word_scores(words: list[str], index: dict[str, int], probs: np.ndarray, max_
 def expected_counts(words: list[str], counts: np.ndarray, index: dict[str, int], probs: np.ndarray, max_piece: int) -> np.ndarray:
     """Expected piece counts by language; counts[word, language]."""
     out = np.zeros_like(probs)
-    for at in by_length(words).values():
+    groups, long = by_length(words)
+    logs = _logs(probs) if long else None
+    for i in long:
+        LongWord(words[i], index, logs, max_piece).add_expected(out, counts[i])
+    for at in groups.values():
         for k in range(0, len(at), 5000):
             part = at[k : k + 5000]
             lattice = Lattice(index, [words[i] for i in part], max_piece)
@@ -117,8 +161,13 @@ def expected_counts(words: list[str], counts: np.ndarray, index: dict[str, int],
     return out
 
 
+def letters_of(run: str) -> list[str]:
+    """The runs of letters in what ``_WORD`` finds."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def words_of(text: str) -> list[str]:
-    return [START + w for w in _WORD.findall(text.lower())]
+    return [START + w for run in _WORD.findall(text.lower()) for w in letters_of(run)]
 
 
 class LanguageModel:
@@ -221,7 +270,18 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         langs, probs = model.langs, model.probs
         index = {p: i for i, p in enumerate(model.pieces)}
         max_piece = max(map(len, model.pieces))
-        state = {"memo": _Index(), "table": np.zeros((0, len(langs)))}
+        state = {"memo": _Index(), "table": np.zeros((0, len(langs))), "letters": np.zeros(0, bool)}
+
+        def learn(runs: list[str]) -> None:
+            parts = [[START + w for w in letters_of(run)] for run in runs]
+            sizes = np.array([len(x) for x in parts])
+            scores = word_scores([w for x in parts for w in x], index, probs, max_piece)
+            if (sizes != 1).any():
+                new = np.zeros((len(runs), len(langs)))
+                np.add.at(new, np.repeat(np.arange(len(runs)), sizes), scores)
+                scores = new
+            state["table"] = np.concatenate([state["table"], scores])
+            state["letters"] = np.concatenate([state["letters"], sizes > 0])
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = as_texts(batch.column(1))
@@ -229,15 +289,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             if langs:
                 for lo in range(0, len(texts), 500):
                     if len(state["memo"]) > MEMO:
-                        state["memo"], state["table"] = _Index(), np.zeros((0, len(langs)))
+                        state["memo"], state["table"], state["letters"] = _Index(), np.zeros((0, len(langs))), np.zeros(0, bool)
                     memo = state["memo"]
                     ids = [list(map(memo.__getitem__, _WORD.findall(t.lower()))) for t in texts[lo : lo + 500]]
                     if memo.new:
-                        new = word_scores([START + w for w in memo.new], index, probs, max_piece)
-                        state["table"] = np.concatenate([state["table"], new])
+                        learn(memo.new)
                         memo.new = []
                     for i, own in enumerate(ids, lo):
-                        if own:
+                        if own and state["letters"][own].any():
                             total = state["table"][own].sum(axis=0)
                             best = int(np.argmax(total))
                             preds[i] = langs[best]

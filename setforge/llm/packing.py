@@ -44,12 +44,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer, special tokens' strings taken as ordinary text.
+    """Ids of a byte-level BPE tokenizer as it stands; none are added.
 
     Where the vocabulary numbers its merges in their order, a faster library gives
     the same ids from the same file.  It is used for texts of Latin letters and
-    common punctuation, on whose classes all Unicode versions agree; other texts
-    go to the tokenizer itself.
+    common punctuation, on whose classes all Unicode versions agree; other texts,
+    and those with a special token's string, go to the tokenizer itself.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -58,11 +58,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.other = regex.compile("[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u203a]").search
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         letters, special = byte_letters(), {t["content"] for t in held["added_tokens"]}
+        strings = [regex.escape(x) for x in special]
+        self.other = regex.compile("|".join(["[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u203a]", *strings])).search
         ranks = {bytes(letters[c] for c in word): i for word, i in held["model"]["vocab"].items() if word not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
         ordered = all(held["model"]["vocab"].get(x + y) == 256 + k for k, (x, y) in enumerate(merges))

@@ -318,6 +318,29 @@ def test_forward_sums_all_segmentations():
     assert counts[3, 0] == pytest.approx(2 * 0.06 / sum(ways.values()))
 
 
+def test_long_words_are_summed_like_short_ones(monkeypatch):
+    rng = random.Random(4)
+    pieces = {"<unk>": 0, "a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}
+    probs = np.array([[0.01, 0.02], [0.2, 0.1], [0.1, 0.3], [0.3, 0.1], [0.15, 0.2], [0.05, 0.1], [0, 0]])
+    words = ["".join(rng.choice("abx") for _ in range(n)) for n in (1, 5, 20, 31, 32)]
+    counts = np.array([[1.0, 2.0]] * len(words))
+    short = langid.word_scores(words, pieces, probs, 3), langid.expected_counts(words, counts, pieces, probs, 3)
+    monkeypatch.setattr(langid, "SHORT", 0)
+    assert np.allclose(short[0], langid.word_scores(words, pieces, probs, 3))
+    assert np.allclose(short[1], langid.expected_counts(words, counts, pieces, probs, 3))
+    # far beyond what a double holds: a run of one letter of which every segmentation is of single letters
+    assert langid.word_scores(["x" * 500], pieces, probs, 3)[0, 0] == pytest.approx(500 * np.log(0.01))
+
+
+def test_letters_are_letters_by_category(spark):
+    assert langid.words_of("½ ² ① Ⅷ a²b ǅo") == ["▁a", "▁b", "▁ǆo"]
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "½ ² ① Ⅷ 12", None), (4, "x" * 5000 + " the cat", None), (5, "the²cat", None)]
+    docs = spark.createDataFrame(rows * 3, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))).collect()}
+    assert got[3]["lang_pred"] == "und" and got[3]["score"] == 0
+    assert got[5]["lang_pred"] == "en" and got[4]["lang_pred"] in ("de", "en")
+
+
 # ---- language model -------------------------------------------------------
 
 
@@ -427,7 +450,6 @@ def test_packing_round_trip(docs, texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, path, length=256).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -449,10 +471,14 @@ def test_encoder_equals_tokenizer_on_odd_texts():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     odd = ["", " ", "  a", "a  b\n\n c\t\td ", "it's we'LL ²½ 12,3 ñandú — “q” <|endoftext|>", "漢字 кот 🙂 \x00\x1c\x85\xa0x", "a\r\n b\x0b\x0cc", "x y　z", "​‍", "é"]
     encoder = packing.Encoder(path, public_tokenizers.PATTERN)
     assert encoder.fast is not None
+    assert encoder.encode("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+    rng = random.Random(8)
+    letters = "abcXYZ  \n\t'.,0123-éÜß—“<|>" + "endoftext"
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    odd += ["<|endoftext|>".join(odd[k : k + 3]) for k in range(0, 300, 3)]
     for text in odd:
         assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
