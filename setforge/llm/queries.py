@@ -52,7 +52,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from setforge.llm.quality_rules import quality_rules
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    judged, at = quality_rules(docs)
+    judged, at = quality_rules(docs, with_text=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *(F.col(at[n]).alias(n) for n in names))
 
@@ -124,13 +124,17 @@ WITH w AS (
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), r AS (
+  SELECT source, unnest(['few_words', 'repeats', 'symbols', 'lines']) AS rule,
+         unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > word_chars, 10 * n_dup_lines > n_words])::INT AS failed FROM b
 ), h AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS f, sum(base_failed::INT) / count(*) AS rate FROM b GROUP BY source
+  SELECT source, rule, count(*) AS n, sum(failed) AS f, sum(failed) / count(*) AS rate FROM r GROUP BY source, rule
 ), p AS (
-  SELECT avg(rate) AS mean, CASE WHEN var_pop(rate) > 0
-         THEN greatest(1.0, least(1000.0, avg(rate) * (1 - avg(rate)) / var_pop(rate) - 1)) ELSE 1000.0 END AS s FROM h
+  SELECT rule, avg(rate) AS mean, CASE WHEN var_pop(rate) > 0
+         THEN greatest(1.0, least(1000.0, avg(rate) * (1 - avg(rate)) / var_pop(rate) - 1)) ELSE 1000.0 END AS s FROM h GROUP BY rule
 ), v AS (
-  SELECT source, (f + mean * s) / (n + s) > 0.5 AS bad FROM h, p
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + s + 1)) > 0.25) AS bad
+  FROM (SELECT source, n, s, (f + mean * s) / (n + s) AS rate FROM h JOIN p USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT bad AS kept

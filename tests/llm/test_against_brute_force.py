@@ -257,12 +257,35 @@ def test_repeated_words_against_all_windows():
         assert quality_rules.repeated_words(w) == len(covered)
 
 
-def test_bad_hosts_are_rejected_and_good_ones_kept(spark):
+def test_bad_hosts_are_rejected_and_good_ones_kept(spark, tmp_path):
+    import duckdb
+
+    from setforge.llm import queries
+
     rng = random.Random(6)
-    rows = [(i, prose(rng, "en", 60 if i % 10 < 2 else 3), "bad") for i in range(200)] + [(i, prose(rng, "en", 60), f"good{i % 4}") for i in range(200, 400)]
-    judged, at = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
-    kept = {r["doc_id"] for r in judged.where(F.col(at["kept"])).collect()}
-    assert kept == set(range(200, 400))
+
+    def page(k, kind):
+        body = prose(rng, "en", 60)
+        if kind == "short":
+            return body if k % 10 < 2 else prose(rng, "en", 3)
+        if kind == "symbols":  # fails no base rule
+            return body if k % 10 < 5 else body + " " + "#$%& " * 15
+        return body + "\nshare this\nshare this" if kind == "lines" and k % 10 < 1 else body
+
+    hosts = {"short": "short", "symbols": "symbols", None: "symbols", "good": "lines", **{f"good{k}": "good" for k in range(6)}}
+    rows = [(100 * h + k, page(k, kind), host) for h, (host, kind) in enumerate(hosts.items()) for k in range(100)]
+    rows += [(9000, page(9, "symbols"), "tiny"), (9001, None, "good"), (9002, "", "good")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    judged, at = quality_rules.quality_rules(docs)
+    found = judged.collect()
+    bad = {"short", "symbols", None}
+    assert all(r[at["kept"]] == (not r[at["base_failed"]] and r["source"] not in bad) for r in found)
+    assert sum(not r[at["kept"]] and not r[at["base_failed"]] for r in found) == 220
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, queries.op8_quality_rules(spark, str(tmp_path)).select("doc_id", "base_failed", "kept", "n_words").collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(f"SELECT doc_id, base_failed, kept, n_words FROM ({queries.OP8_SQL})").fetchall())
 
 
 def test_rule_ensemble_learns(spark):
