@@ -449,23 +449,61 @@ def test_language_model_reruns_agree(docs):
 # ---- mixing, packing, fingerprints ---------------------------------------
 
 
-def test_targets_fill_up_to_the_cap():
-    found = mixing.targets({"a": 10, "b": 100, "c": 100, None: 100})
-    assert found["a"] == 20 and sum(found.values()) == pytest.approx(1.5 * 310)
-    assert all(found[s] <= 2 * n for s, n in {"a": 10, "b": 100, "c": 100, None: 100}.items())
-
-
-def test_mix_comes_near_its_targets(docs):
-    rows = mixing.mix(docs).collect()
+def brute_rates(rows, weights=(5, 2, 1), share=1.5, most=2.0):
+    """From (source, size) rows: target and dual of each source, by filling up and by bisection."""
+    sizes = collections.defaultdict(list)
+    for source, size in rows:
+        sizes[source].append(size)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    own, weight = {s: sum(v) for s, v in sizes.items()}, {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), share * sum(own.values())
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > most * own[s]}
+        target |= {s: most * own[s] for s in full} if full else {s: unit * weight[s] for s in open_}
+        left -= sum(most * own[s] for s in full)
+        open_ = open_ - full if full else set()
+    duals = {}
+    for s in order:
+        if 0 < target[s] < most * own[s] - 1e-9:
+            low, high, x = -50.0, 50.0, np.array([v for v in sizes[s] if v > 0], float)
+            for _ in range(200):
+                middle = (low + high) / 2
+                low, high = (middle, high) if (x * np.minimum(most, np.exp(np.minimum(middle * x, 5.0)))).sum() < target[s] else (low, middle)
+            duals[s] = low
+    return target, duals
+
+
+def test_mix_solves_the_dual_and_comes_near_its_targets(spark):
+    rng = random.Random(12)
+    rows = []
+    for s, n in [("a", 40), ("b", 600), ("é", 300), ("z", 700), (None, 500), ("empty", 5)]:
+        rows += [(len(rows) + k, s, " ".join(["w"] * (0 if s == "empty" else rng.choice([0, 1, 3, 8, 30, 200])))) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(3)).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
-    of = {r["doc_id"]: r["source"] for r in docs.collect()}
-    taken, target = collections.Counter(), {}
-    for r in rows:
-        taken[of[r["doc_id"]]] += r["copies"] * r["size"]
-        target[of[r["doc_id"]]] = r["target"]
-    for s in target:
-        assert abs(taken[s] - target[s]) <= 30
+    assert sorted(map(repr, got)) == sorted(map(repr, again)) and len(got) == len(rows)
+    target, duals = brute_rates([(s, len(words(t))) for _, s, t in rows])
+    assert len(duals) >= 2 and target["a"] == pytest.approx(2 * sum(r["size"] for r in got if r["source"] == "a"))
+    taken = collections.Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]], rel=1e-9)
+        if r["size"] and r["source"] in duals:
+            assert r["rate"] == pytest.approx(min(2.0, np.exp(duals[r["source"]] * r["size"])), rel=1e-6)
+        assert r["copies"] in ((0,) if r["size"] == 0 else (int(np.floor(r["rate"])), int(np.floor(r["rate"])) + 1)) and r["copies"] <= 2
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target)
+
+
+def test_repeats_take_what_the_mix_says(spark):
+    rows = [(1, "a", "one two three", 7), (1, "a", "one two three", 7), (1, "a", "another text", 8), (None, "b", "x y", 9), (2, None, "z " * 9, 1), (3, None, "", 2), (4, "b", None, 3), (5, "b", "p q r", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, copies int")
+    mixed = mixing.mix(docs)
+    want = collections.Counter()
+    for r in mixed.collect():
+        want[(r["doc_id"], r["source"], r["text_hash"])] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], r["h"]) for r in mixing.repeat(docs, mixed).withColumn("h", F.xxhash64("text")).collect())
+    assert got == +want and mixing.repeat(docs, mixed).columns == docs.columns
 
 
 def test_packing_round_trip(docs, texts):
