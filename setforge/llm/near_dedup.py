@@ -27,7 +27,8 @@ others before texts are shuffled (a full one only costs work).
 Defined cases: null text or text without words is an empty set, linked with
 nothing; with fewer words than a shingle has, the whole sequence is the only
 shingle; rows with equal ids are one node of the graph; an empty table gives an
-empty result.  Ids must not be null.
+empty result.  A null id counts as larger than any: such a row belongs to the
+component of an equal set with an id, else it stands alone (component null, kept).
 """
 
 from __future__ import annotations
@@ -401,5 +402,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = components(links, shelf, f"exact-{turn}-parts")
+    shelf.drop("pairs", "regions", "crowded", "sets", "links-1", "links-2", *(f"{x}-{turn}" for turn in range(len(ROUNDS)) for x in ("cells", "exact")))
     out = mapped.join(parts, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

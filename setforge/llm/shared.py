@@ -2,7 +2,9 @@
 
 Lineage is cut by writing Parquet into the folder that the cluster names in
 ``spark.checkpoint.dir``.  Where that is unset, a temporary folder serves, and
-only for a local master, because no other machine could see it.
+only for a local master, because no other machine could see it.  Results of
+operators are lazy and read these tables, so operators free only what their
+result does not need; callers free the rest with ``freed_shelves``.
 """
 
 from __future__ import annotations
@@ -12,12 +14,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folder: list[str] = []
+#: Folders of the shelves in use, oldest first.
+_shelves: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,16 +44,34 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _shelves.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Free a table that no DataFrame still to be run reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Free tables that no DataFrame still to be run reads."""
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def freed_shelves() -> Iterator[None]:
+    """Delete what operators store inside the block when it ends; their results must have been written elsewhere by then."""
+    before = len(_shelves)
+    try:
+        yield
+    finally:
+        for spark, root in _shelves[before:]:
+            _delete(spark, root)
+        del _shelves[before:]
 
 
 def modest_batches(spark: SparkSession) -> None:

@@ -123,6 +123,25 @@ def test_large_stars_are_whole(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_pairs_inside_one_boilerplate(spark):
+    # between pairs the common text is just below the threshold, within them just above
+    rng = random.Random(31)
+    plate = [f"p{k}" for k in range(300)]
+    rows = [(2 * k + side, " ".join([*plate, *(f"o{k}x{j}" for j in range(14)), *(f"s{k}y{side}z{j}" for j in range(28))])) for k in range(300) for side in (0, 1)]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows[:4]}
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2]) < 0.8 * len(sets[0] | sets[1]) * 1.1 and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_rows_without_ids(spark):
+    same, near = "one text of more than five words here " * 2, "quite another text of seven words " * 2
+    rows = [(None, same), (3, same), (None, near), (None, near), (5, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True), (5, 5, True)]
+
+
 def test_cut_regions_are_named(spark):
     sig = bytes(range(32))
     orders = spark.createDataFrame([(0, bytearray(sig), i) for i in range(6)], "tree int, sig binary, id bigint").repartitionByRange(3, "id").sortWithinPartitions("id")
