@@ -24,7 +24,7 @@ def main() -> None:
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.execution.arrow.maxRecordsPerBatch", "100000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     big = 10_000_000
@@ -32,6 +32,9 @@ def main() -> None:
     def registers(cfg, n: int):
         return lambda: sketches.checksum(sketches.build(cfg, ids(spark, n, 7), "element", []).withColumn("one", F.lit(1)), ["one"]).collect()
 
+    def bulk(cfg, n: int):
+        return lambda: sketches.checksum(sketches.bulk(cfg, ids(spark, n, 7), "element", [])[0].withColumn("one", F.lit(1)), ["one"]).collect()
+
     def estimated(cfg, elements, estimate):
         return lambda: estimate(cfg, sketches.build(cfg, elements(spark, SF_DIR), "x", ["key"]), ["key"]).collect()
 
@@ -44,15 +47,18 @@ def main() -> None:
         return run
 
     queries = {
-        "insert_hll_m4096_1e7": registers(HyperLogLog(4096, 2.0, 48), big),
-        "insert_ghll_b2_m4096_1e7": registers(GeneralizedHyperLogLog(4096), big),
+        "insert_hll_m4096_1e7": registers(HyperLogLog(4096, 2.0, 48, scheme="marked"), big),
+        "insert_ghll_b2_m4096_1e7": registers(GeneralizedHyperLogLog(4096, scheme="marked"), big),
         "insert_setsketch1_b2_m4096_1e7": registers(SetSketch1(4096, 2.0, 62, 20.0, scheme="marked"), big),
-        "insert_hyperminhash_1e7": registers(HyperMinHash(12), big),
+        "insert_setsketch2_b2_m4096_1e7": registers(SetSketch2(4096, 2.0, 62, 20.0, scheme="marked"), big),
+        "insert_setsketch1_bulk_b2_m4096_1e7": bulk(SetSketch1(4096, 2.0, 62, 20.0, scheme="marked"), big),
+        "insert_setsketch2_bulk_b2_m4096_1e7": bulk(SetSketch2(4096, 2.0, 62, 20.0, scheme="marked"), big),
+        "insert_hyperminhash_1e7": registers(HyperMinHash(12, scheme="marked"), big),
         "insert_minhash_m4096_1e5": registers(MinHash(4096), 100_000),
         "supplier_parts_ghll_simple": estimated(GeneralizedHyperLogLog(256), catalog.supplier_parts, cardinality.simple),
         "supplier_parts_ghll_ml": estimated(GeneralizedHyperLogLog(256), catalog.supplier_parts, cardinality.ml),
         "segment_orders_setsketch1": estimated(SetSketch1(1024, 2.0, 62, 20.0, scheme="marked"), catalog.segment_orders, cardinality.simple),
-        "segment_orders_setsketch2": estimated(SetSketch2(64), catalog.segment_orders, cardinality.simple),
+        "segment_orders_setsketch2": estimated(SetSketch2(64, scheme="marked"), catalog.segment_orders, cardinality.simple),
         "priority_customers_joint": compared(GeneralizedHyperLogLog(1024)),
         "priority_customers_joint_minhash": compared(MinHash(64)),
     }

@@ -2,10 +2,18 @@
 
 A task keeps one register block a key and sends each block once it ends (or once
 ``MAX_KEYS`` keys are held), so its shuffle is at most keys x registers rows.
-Registers equal those of the relational path where the hash is the same; the
-``marked`` scheme draws a SetSketch1 element's points in ascending order instead
-(a Poisson process whose points land in random registers) and stops as soon as
-no register can rise, which costs little once a sketch is filled.
+MinHash registers equal themselves under any order.  The other families use the
+``marked`` scheme here: an element's points are drawn in ascending order from a
+counter-based stream, and drawing stops as soon as no register can rise, so that a
+filled sketch looks at one hash an element:
+
+* HyperLogLog, GHLL, HyperMinHash: one point, compared with the lowest register
+  before its value is computed;
+* SetSketch1: a Poisson process whose points land in random registers;
+* SetSketch2: one point in each of m strata of equal mass, dealt to registers by a
+  permutation that a keyed Feistel network gives.
+
+A fixed ``limit`` in the place of the lowest register is bulk insertion.
 """
 
 from __future__ import annotations
@@ -15,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
-from setforge.config import MinHash, SetSketch1, SketchFamily
+from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, Registers, SetSketch1, SetSketch2, SketchFamily
 
 MAX_KEYS = 512
+#: Elements that are inserted together where there is one key.
+CHUNK = 1 << 17
 _MASK = (1 << 64) - 1
 
 
@@ -37,36 +47,115 @@ def stream(ids: np.ndarray, step: int, draw: int) -> np.ndarray:
     return _mix(ids + np.uint64(((2 * step + draw + 1) * 0x9E3779B97F4A7C15) & _MASK))
 
 
-class MarkedRegisters:
-    """SetSketch1 registers with a lower bound; ``add`` takes 64-bit ids."""
+def _unit(h: np.ndarray) -> np.ndarray:
+    """In (0, 1), from the upper 53 bits."""
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
-    def __init__(self, cfg: SetSketch1):
-        self.cfg, self.k = cfg, np.zeros(cfg.m, np.int32)
+
+def _bound(share: float) -> np.uint64:
+    """Hashes above this give a ``_unit`` above ``share``."""
+    return np.uint64(min(1 << 53, math.ceil(min(max(share, 0.0), 1.0) * (1 << 53)) + 1) * (1 << 11) - 1)
+
+
+def _trailing_ones(h: np.ndarray) -> np.ndarray:
+    lowest_zero = ~h & (h + np.uint64(1))
+    found = (lowest_zero.astype(np.float64).view(np.int64) >> 52) - 1023
+    found[lowest_zero == 0] = 64
+    return found
+
+
+class MaxRegisters:
+    """Registers that only rise, with a bound below which nothing matters; ``add`` takes 64-bit ids."""
+
+    def __init__(self, cfg: SketchFamily, limit: float | None = None):
+        self.cfg, self.limit, self.k = cfg, limit, np.zeros(cfg.m, np.int32)
         self.changes, self.lowest = 0, 0
 
-    def add(self, ids: np.ndarray) -> None:
-        cfg = self.cfg
-        ids = np.unique(ids)
-        x = np.zeros(len(ids))
-        step = 0
-        while len(ids):
-            u = (stream(ids, step, 0) >> np.uint64(11)).astype(np.float64)
-            x = x - np.log1p(-(u + 0.5) / (1 << 53)) / (cfg.a * cfg.m)
-            k = np.clip(np.floor(1 - np.log(x) / cfg.log_b), 0, cfg.q + 1).astype(np.int32)
-            live = k > self.lowest
-            ids, x, k = ids[live], x[live], k[live]
-            reg = (stream(ids, step, 1) % np.uint64(cfg.m)).astype(np.int64)
-            np.maximum.at(self.k, reg, k)
-            self.changes += len(ids)
-            if self.changes >= cfg.m:  # refresh the bound now and then
-                self.lowest, self.changes = int(self.k.min()), 0
-            step += 1
+    def raised(self, reg: np.ndarray, k: np.ndarray) -> None:
+        np.maximum.at(self.k, reg, k.astype(np.int32))
+        self.changes += len(reg)
+        if self.changes >= self.cfg.m and self.limit is None:  # refresh the bound now and then
+            self.lowest, self.changes = int(self.k.min()), 0
+
+    def largest(self) -> float:
+        """Points above this are not needed; those above 1 give a register 0."""
+        return self.cfg.b ** -float(self.lowest) if self.limit is None else min(1.0, self.limit)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(1 - np.log(x) / self.cfg.log_b), 0, self.cfg.q + 1).astype(np.int32)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         reg = np.flatnonzero(self.k)
         return reg.astype(np.int32), self.k[reg].astype(np.int64)
 
 
+class HllRegisters(MaxRegisters):
+    def add(self, ids: np.ndarray) -> None:
+        h, cfg = stream(ids, 0, 0), self.cfg
+        low = np.uint64((1 << min(self.lowest, cfg.q)) - 1)
+        h = h[(h & low) == low]
+        if self.lowest <= cfg.q:
+            self.raised((h >> np.uint64(64 - cfg.p)).astype(np.int64) if cfg.p else np.zeros(len(h), np.int64), np.minimum(_trailing_ones(h) + 1, cfg.q + 1))
+
+
+class GhllRegisters(MaxRegisters):
+    def add(self, ids: np.ndarray) -> None:
+        h = stream(ids, 0, 0)
+        live = h <= _bound(self.largest())
+        self.raised((stream(ids[live], 0, 1) % np.uint64(self.cfg.m)).astype(np.int64), self.values(_unit(h[live])))
+
+
+class HyperMinRegisters(MaxRegisters):
+    def add(self, ids: np.ndarray) -> None:
+        h, cfg, top = stream(ids, 0, 0), self.cfg, 1 << self.cfg.bucket_size
+        low = np.uint64((1 << max(0, (self.lowest >> cfg.sub_bits) - 1)) - 1)
+        live = (h & low) == low
+        value, other = np.minimum(_trailing_ones(h[live]) + 1, top), stream(ids[live], 0, 1)
+        rest = (other & np.uint64((1 << cfg.sub_bits) - 1)).astype(np.int64)
+        self.raised((other >> np.uint64(64 - cfg.bucket_bits)).astype(np.int64), value << cfg.sub_bits | rest)
+
+
+class SetSketch1Registers(MaxRegisters):
+    def add(self, ids: np.ndarray) -> None:
+        rate, m = self.cfg.a * self.cfg.m, np.uint64(self.cfg.m)
+        h = stream(ids, 0, 0)
+        live = h <= _bound(-math.expm1(-rate * self.largest()))
+        ids, x, step = ids[live], -np.log1p(-_unit(h[live])) / rate, 0
+        while len(ids):
+            live = x <= self.largest()
+            ids, x = ids[live], x[live]
+            self.raised((stream(ids, step, 1) % m).astype(np.int64), self.values(x))
+            step += 1
+            x = x - np.log1p(-_unit(stream(ids, step, 0))) / rate
+
+
+class SetSketch2Registers(MaxRegisters):
+    def __init__(self, cfg: SetSketch2, limit: float | None = None):
+        super().__init__(cfg, limit)
+        self.half = max(1, (max(cfg.m - 1, 1).bit_length() + 1) // 2)
+
+    def dealt(self, ids: np.ndarray, stratum: int) -> np.ndarray:
+        """The register of each element's stratum: a permutation of 0 .. m-1 by element."""
+        half, mask = np.uint64(self.half), np.uint64((1 << self.half) - 1)
+        out, open_ = np.full(len(ids), stratum, np.uint64), np.arange(len(ids))
+        while len(open_):  # walk on where the network leaves 0 .. m-1
+            left, right, own = out[open_] >> half, out[open_] & mask, ids[open_]
+            for turn in range(4):
+                left, right = right, left ^ _mix(own ^ (right + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & _MASK))) >> np.uint64(64 - self.half)
+            out[open_] = left << half | right
+            open_ = open_[out[open_] >= np.uint64(self.cfg.m)]
+        return out.astype(np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        a, m, stratum = self.cfg.a, self.cfg.m, 0
+        while len(ids) and stratum < m:
+            h = stream(ids, stratum, 0)
+            live = h <= _bound(-math.expm1(-a * self.largest()) * m - stratum)
+            ids, h = ids[live], h[live]
+            self.raised(self.dealt(ids, stratum), self.values(-np.log1p(-(stratum + _unit(h)) / m) / a))
+            stratum += 1
+
+
 class MinRegisters:
     """MinHash registers of 60 bits; blocks of hashes stay inside a core's cache."""
 
@@ -77,7 +166,7 @@ class MinRegisters:
         self.salt = (_mix(np.arange(1, cfg.m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1))
 
     def add(self, ids: np.ndarray) -> None:
-        ids = _mix(np.unique(ids))
+        ids = _mix(ids)
         step = max(1, self.BLOCK // self.cfg.m)
         x, y = (np.empty((step, self.cfg.m), np.uint64) for _ in range(2))
         for lo in range(0, len(ids), step):
@@ -94,63 +183,66 @@ class MinRegisters:
         return reg.astype(np.int32), self.k[reg]
 
 
-def block(cfg: SketchFamily) -> MarkedRegisters | MinRegisters:
+def block(cfg: SketchFamily, limit: float | None = None) -> MaxRegisters | MinRegisters:
     if isinstance(cfg, MinHash):
         return MinRegisters(cfg)
-    if isinstance(cfg, SetSketch1):
-        return MarkedRegisters(cfg)
+    for family, kernel in ((SetSketch1, SetSketch1Registers), (SetSketch2, SetSketch2Registers), (HyperLogLog, HllRegisters), (GeneralizedHyperLogLog, GhllRegisters), (HyperMinHash, HyperMinRegisters)):
+        if isinstance(cfg, family):
+            return kernel(cfg, limit)
     raise ValueError(f"no kernel for {cfg.name}")
 
 
-def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str]) -> DataFrame:
-    """(keys..., reg, k) with a row for each key, register and task at most."""
+def element_id(df: DataFrame, element: str) -> Column:
+    """A 64-bit id; whole numbers of any type have the same, others go by their text."""
+    whole = isinstance(df.schema[element].dataType, IntegralType)
+    return F.xxhash64(F.col(element).cast("bigint" if whole else "string"))
+
+
+def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], limit: str | None = None) -> DataFrame:
+    """(keys..., reg, k) with a row for each key, register and task at most; ``limit`` names a column, constant by key, above which points are left out."""
     block(cfg)
-    rows = df.where(F.col(element).isNotNull()).select(*keys, F.xxhash64(F.col(element).cast("string")).alias("__id"))
-    schema = StructType(list(rows.select(*keys).schema.fields)).add("reg", "integer").add("k", "long" if isinstance(cfg, MinHash) else "integer")
+    kept = [*keys, limit] if limit else keys
+    rows = df.where(F.col(element).isNotNull()).select(*kept, element_id(df, element).alias("__id"))
+    schema = StructType(list(rows.select(*kept).schema.fields)).add("reg", "integer").add("k", "long" if isinstance(cfg, MinHash) else "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, MarkedRegisters | MinRegisters] = {}
+        held: dict[tuple, MaxRegisters | MinRegisters] = {}
+
+        def of(key: tuple) -> MaxRegisters | MinRegisters:
+            if key not in held:
+                held[key] = block(cfg, key[-1] if limit else None)
+            return held[key]
 
         def out(columns: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
             for key, registers in held.items():
                 reg, k = registers.rows()
                 if len(reg):
                     named = [pa.array([v] * len(reg), t) for v, t in zip(key, columns)]
-                    yield pa.RecordBatch.from_arrays([*named, pa.array(reg), pa.array(k if isinstance(cfg, MinHash) else k.astype(np.int32))], names=[*keys, "reg", "k"])
+                    yield pa.RecordBatch.from_arrays([*named, pa.array(reg), pa.array(k if isinstance(cfg, MinHash) else k.astype(np.int32))], names=[*kept, "reg", "k"])
             held.clear()
 
         columns: list[pa.DataType] = []
+        waiting: list[np.ndarray] = []
         for batch in batches:
             columns = [c.type for c in batch.columns[:-1]]
-            ids = batch.column(len(keys)).to_numpy().view(np.uint64)
-            if not keys:
-                held.setdefault((), block(cfg)).add(ids)
+            ids = batch.column(len(kept)).to_numpy().view(np.uint64)
+            if not kept:
+                waiting.append(ids)
+                if sum(map(len, waiting)) >= CHUNK:
+                    of(()).add(np.concatenate(waiting))
+                    waiting = []
                 continue
             values = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
             numbers: dict[tuple, int] = {}
-            of = np.fromiter((numbers.setdefault(v, len(numbers)) for v in values), np.int64, len(values))
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(len(numbers) + 1))
+            own = np.fromiter((numbers.setdefault(v, len(numbers)) for v in values), np.int64, len(values))
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(len(numbers) + 1))
             for key, i in numbers.items():
                 if key not in held and len(held) >= MAX_KEYS:
                     yield from out(columns)
-                held.setdefault(key, block(cfg)).add(ids[order[cuts[i] : cuts[i + 1]]])
+                of(key).add(ids[order[cuts[i] : cuts[i + 1]]])
+        if waiting:
+            of(()).add(np.concatenate(waiting))
         yield from out(columns)
 
     return rows.mapInArrow(run, schema)
-
-
-def first_points(cfg: SetSketch1, ids: np.ndarray, limit: float) -> int:
-    """How many points up to ``limit`` the marked scheme draws for the ids."""
-    n, x, step = 0, np.zeros(len(ids)), 0
-    while len(ids):
-        u = (stream(ids, step, 0) >> np.uint64(11)).astype(np.float64)
-        x = x - np.log1p(-(u + 0.5) / (1 << 53)) / (cfg.a * cfg.m)
-        live = x <= limit
-        ids, x, step = ids[live], x[live], step + 1
-        n += int(live.sum())
-    return n
-
-
-def limit_for(cfg: SetSketch1, n: int, success: float = 0.95) -> float:
-    return -math.log1p(-(success ** (1 / cfg.m))) / (cfg.a * n)

@@ -21,12 +21,12 @@ def _best(cfg: SketchFamily) -> Column:
 
 
 def build(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], kernel: bool | None = None) -> DataFrame:
-    """The sketch of the elements of each key; ``kernel`` selects the Arrow path, by default for wide SetSketch1 and MinHash."""
+    """The sketch of the elements of each key; ``kernel`` selects the Arrow path, by default for the marked scheme, wide SetSketch1 and MinHash."""
     from setforge.operators import kernels
 
     if kernel is None:
-        kernel = cfg.m >= 1024 and getattr(cfg, "scheme", "") == "xxhash64" and isinstance(cfg, (SetSketch1, MinHash))
-    if kernel or getattr(cfg, "scheme", "") == "marked":
+        kernel = cfg.scheme == "marked" or cfg.m >= 1024 and cfg.scheme == "xxhash64" and isinstance(cfg, (SetSketch1, MinHash))
+    if kernel:
         return kernels.partial_registers(cfg, df, element, keys).groupBy(*keys, "reg").agg(_best(cfg))
     return updates(cfg, df, element, keys).groupBy(*keys, "reg").agg(_best(cfg)).where("k > 0" if not isinstance(cfg, MinHash) else "true")
 
@@ -98,28 +98,38 @@ def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[s
 
     Each attempt raises a key's limit by its first; a key is done when its smallest
     register exceeds what any further point could give.  The loop runs once more
-    only for keys that are not done.
+    only for keys that are not done.  With the ``marked`` scheme only points up to
+    the limit are drawn.  Elements are counted with repeats, which makes the first
+    limit smaller than need be, never wrong.
     """
-    spark = df.sparkSession
+    from setforge.operators import kernels
+
     rows = df.where(F.col(element).isNotNull()).select(*keys, F.col(element).alias("__element"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("step", first_limit(cfg, F.col("n"), success))
-    open_, done, attempts, turn = sizes, None, None, 0
-    while True:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.select(*keys, first_limit(cfg, F.col("n"), success).alias("step")).persist()
+    found, turn = [], 0
+    while not open_.isEmpty():
         turn += 1
-        limited = rows.join(open_, keys).distinct()
-        points = setsketch1_points(cfg, limited, "__element") if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, limited, "__element", keys)
-        limit = F.col("step") * turn
-        small = points.where((F.col("x") <= limit)).withColumn("k", register_value(F.col("x"), cfg.b, cfg.q)).groupBy(*keys, "reg", "step").agg(F.max("k").alias("k"))
-        lowest = small.groupBy(*keys, "step").agg(F.when(F.count(F.lit(1)) < cfg.m, 0).otherwise(F.min("k")).alias("lowest"))
-        ready = lowest.where(register_value(limit, cfg.b, cfg.q) <= F.col("lowest")).select(*keys)
-        ready = spark.createDataFrame(ready.toPandas(), ready.schema) if ready.count() else ready.limit(0)
-        got = small.join(ready, keys).select(*keys, "reg", "k")
-        done = got if done is None else done.unionByName(got)
-        tried = ready.withColumn("attempts", F.lit(turn))
-        attempts = tried if attempts is None else attempts.unionByName(tried)
-        open_ = open_.join(ready, keys, "left_anti")
-        if open_.isEmpty():
-            return done.where("k > 0"), attempts
+        limited = (rows.join(open_, keys) if keys else rows.crossJoin(F.broadcast(open_))).withColumn("limit", F.col("step") * turn).drop("step")
+        if cfg.scheme == "marked":
+            small = kernels.partial_registers(cfg, limited, "__element", keys, limit="limit")
+        else:
+            limited = limited.distinct()
+            points = setsketch1_points(cfg, limited, "__element") if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, limited, "__element", keys)
+            small = points.where(F.col("x") <= F.col("limit")).withColumn("k", register_value(F.col("x"), cfg.b, cfg.q))
+        small = small.groupBy(*keys, "limit", "reg").agg(F.max("k").alias("k"))
+        lowest = small.groupBy(*keys, "limit").agg(F.when(F.count(F.lit(1)) < cfg.m, 0).otherwise(F.min("k")).alias("lowest"))
+        ready = lowest.where(register_value(F.col("limit"), cfg.b, cfg.q) <= F.col("lowest")).withColumn("attempts", F.lit(turn)).drop("limit", "lowest").persist()
+        got = (small.join(ready, keys) if keys else small.crossJoin(F.broadcast(ready))).select(*keys, "reg", "k", "attempts").where("k > 0").persist()
+        got.count()
+        found.append((got, ready))
+        open_ = open_.join(ready, keys, "left_anti") if keys else open_.where(F.lit(ready.isEmpty()))
+    if not found:
+        return rows.select(*keys, F.lit(0).alias("reg"), F.lit(0).alias("k")).limit(0), sizes.withColumn("attempts", F.lit(0)).drop("n")
+    done, tried = found[0]
+    for got, ready in found[1:]:
+        done, tried = done.unionByName(got), tried.unionByName(ready)
+    return done.drop("attempts"), tried
 
 
 def exponential_points(cfg: SetSketch1, df: DataFrame, element: str) -> DataFrame:

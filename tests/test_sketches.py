@@ -118,15 +118,74 @@ def test_minhash_kernel(spark):
     assert abs(estimate / 3000 - 1) < 0.2
 
 
+MARKED = [
+    HyperLogLog(64, 2.0, 58, scheme="marked"), GeneralizedHyperLogLog(100, 1.2, 200, scheme="marked"), SetSketch1(48, 2.0, 62, 20.0, scheme="marked"),
+    SetSketch2(48, 2.0, 62, 20.0, scheme="marked"), SetSketch2(64, 1.001, 65534, 20.0, scheme="marked"), HyperMinHash(6, 6, 10, scheme="marked"),
+]
+
+
+@pytest.mark.parametrize("cfg", MARKED, ids=lambda c: f"{c.name}-{getattr(c, 'b', '')}")
+def test_pruned_registers_equal_unpruned_ones(cfg):
+    ids = kernels.stream(np.arange(20_000, dtype=np.uint64), 9, 9)
+    pruned, every, doubled = kernels.block(cfg), kernels.block(cfg, math.inf), kernels.block(cfg)
+    for part in np.array_split(ids, 50):
+        pruned.add(part)
+        every.add(part)
+    doubled.add(np.concatenate([ids[::-1], ids]))
+    assert pruned.lowest > 0 and every.lowest == 0
+    assert (pruned.k == every.k).all() and (doubled.k == every.k).all()
+    if isinstance(cfg, (SetSketch1, SetSketch2)):
+        limit = -math.log1p(-(0.95 ** (1 / cfg.m))) / (cfg.a * 20_000)
+        small = kernels.block(cfg, limit)
+        small.add(ids)
+        enough = math.floor(1 - math.log(limit) / cfg.log_b)
+        assert ((small.k == every.k) | (every.k <= enough)).all()
+
+
+def test_strata_are_dealt_by_permutations():
+    for m in (1, 2, 5, 16, 100):
+        registers = kernels.block(SetSketch2(m, scheme="marked"))
+        ids = kernels.stream(np.arange(200, dtype=np.uint64), 0, 0)
+        dealt = np.stack([registers.dealt(ids, j) for j in range(m)])
+        assert (np.sort(dealt, axis=0) == np.arange(m)[:, None]).all()
+        assert m < 5 or len({tuple(c) for c in dealt.T}) > 50
+
+
+@pytest.mark.parametrize("cfg", MARKED, ids=lambda c: f"{c.name}-{getattr(c, 'b', '')}")
+def test_marked_estimates_over_many_sets(cfg):
+    # the mean of 200 estimates lies within five of its standard errors
+    own, n = [], 400
+    for example in range(200):
+        registers = kernels.block(cfg)
+        registers.add(kernels.stream(np.arange(n, dtype=np.uint64), example, 5))
+        if isinstance(cfg, HyperMinHash):
+            k, hll = registers.k >> cfg.sub_bits, cfg.as_hll()
+        else:
+            k, hll = registers.k, cfg
+        own.append(cardinality.ml_from_counts(hll, np.bincount(k, minlength=hll.q + 2).astype(float)))
+    assert abs(np.mean(own) / n - 1) < 5 * np.std(own) / n / math.sqrt(200) + 0.01
+    assert 0.3 < np.std(own) / n * math.sqrt(cfg.m) < 1.4
+
+
+@pytest.mark.parametrize("cfg", MARKED[2:4], ids=lambda c: c.name)
+def test_marked_bulk_equals_marked_stream(spark, cfg):
+    data = rows(spark, 150).unionByName(rows(spark, 40).withColumn("key", F.lit("b")))
+    bulk, attempts = sketches.bulk(cfg, data, "x", ["key"])
+    assert same_rows(bulk.select("key", "reg", "k"), sketches.build(cfg, data, "x", ["key"]))
+    assert attempts.count() == 2
+    whole, once = sketches.bulk(cfg, data, "x", [])
+    assert same_rows(whole.select("reg", "k"), sketches.build(cfg, data, "x", [])) and once.count() == 1
+
+
 def test_bulk_limit_succeeds_as_designed():
-    cfg = SetSketch1(64)
-    hits = 0
-    for seed in range(300):
-        ids = np.arange(seed * 1000, seed * 1000 + 200, dtype=np.uint64)
-        limit, registers = kernels.limit_for(cfg, 200), kernels.MarkedRegisters(cfg)
-        registers.add(ids)
-        hits += math.floor(1 - math.log2(limit)) <= registers.k.min()
-    assert hits / 300 > 0.85
+    for cfg in MARKED[2:4]:
+        hits = 0
+        limit = -math.log1p(-(0.95 ** (1 / cfg.m))) / (cfg.a * 200)
+        for seed in range(300):
+            registers = kernels.block(cfg, limit)
+            registers.add(np.arange(seed * 1000, seed * 1000 + 200, dtype=np.uint64))
+            hits += math.floor(1 - math.log2(limit)) <= registers.k.min()
+        assert hits / 300 > 0.85
 
 
 def test_prefixes_are_running_sketches(spark):
