@@ -31,7 +31,7 @@ from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, M
 
 MAX_KEYS = 512
 #: Elements that are inserted together where there is one key.
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 _MASK = (1 << 64) - 1
 
 
