@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import as_texts, map_batches
+from setforge.llm.shared import as_texts, freeing, map_batches
 
 SLOTS = 64
 #: Stands for a null id, which comes last in descending order.
@@ -195,4 +195,4 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield flushed()
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return dealt.mapInArrow(run, f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(freeing(run), f"`{id_col}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import Shelf, as_texts, map_batches
+from setforge.llm.shared import Shelf, as_texts, freeing, map_batches
 
 START = "▁"
 #: Words of up to so many letters are summed together, longer ones each on its own with logarithms.
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
         if any(found.values()):
             yield flushed()
 
-    counted = sample.select("text", "lang").mapInArrow(counter, "lang string, word string, n bigint")
+    counted = sample.select("text", "lang").mapInArrow(freeing(counter), "lang string, word string, n bigint")
     words = shelf.put(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     index = {p: i for i, p in enumerate(pieces)}
     probs = np.full((len(pieces) + 1, len(langs)), 1 / len(pieces))
@@ -239,7 +239,7 @@ def fit(labelled: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
 
-        totals = words.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        totals = words.mapInArrow(freeing(expect), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros_like(probs)
         counts[totals["piece"], totals["lang"]] = totals["n"]
         counts[:-1] += 0.05

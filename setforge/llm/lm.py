@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import Shelf, as_bytes, map_batches
+from setforge.llm.shared import Shelf, as_bytes, freeing, map_batches
 
 TOP, BUCKETS, CLASSES, BEFORE = 100_000, 1024, 32, 64
 LEAST_VOCABULARY, LEAST_FEATURES, MOST_FEATURES = 1024, 4096, 1 << 22
@@ -112,7 +112,7 @@ def table_sums(texts: DataFrame, make, shape: tuple[int, ...], dtype: type) -> n
         if any_rows:
             yield blocks_of(give())
 
-    return summed(texts.mapInArrow(run, "block int, data binary"), shape, dtype)
+    return summed(texts.mapInArrow(freeing(run), "block int, data binary"), shape, dtype)
 
 
 # ---- items and features ---------------------------------------------------
@@ -229,7 +229,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if found:
             yield flushed()
 
-    return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(freeing(run), "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def commonest(counts: DataFrame, most: int) -> list:
@@ -459,7 +459,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([pa.array(rows), piece.column(0), piece.column(2), *found], names=["row", "id", "training", "n", "known", "logs", "oov", "items", "rare", "times"])
 
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    encoded = shelf.put(marked.mapInArrow(encode, f"row bigint, id {id_type}, training boolean, {_ENCODED}"), "encoded")
+    encoded = shelf.put(marked.mapInArrow(freeing(encode), f"row bigint, id {id_type}, training boolean, {_ENCODED}"), "encoded")
     model = train(encoded.where("training").select("items"), counts, lexicon)
     sent = spark.sparkContext.broadcast(model)
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setforge.llm.components import components
-from setforge.llm.shared import Shelf, as_bytes, map_batches
+from setforge.llm.shared import Shelf, as_bytes, freeing, map_batches
 
 TREES, DEPTH, LEAST, WINDOW = 20, 8, 4, 6
 #: Trees of each round of the exact pass; the first ones leave little to the others.
@@ -200,7 +200,7 @@ def neighbours(orders: DataFrame) -> DataFrame:
         if before is not None:
             yield edge(key[-1:], before.type)
 
-    found = orders.mapInArrow(run, f"a {id_type}, b {id_type}, edge bigint")
+    found = orders.mapInArrow(freeing(run), f"a {id_type}, b {id_type}, edge bigint")
     return found.where("a <> b OR edge IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "edge").distinct()
 
 
@@ -335,7 +335,7 @@ def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], names=["place", "bits"])
 
-    held = ids.mapInArrow(bits, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    held = ids.mapInArrow(freeing(bits), "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(SIEVE // 8, np.uint8)
     table[held["place"].to_numpy(np.int64)] = held["bits"].to_numpy(np.uint8)
     sent = spark.sparkContext.broadcast(table)

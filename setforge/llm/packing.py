@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import Shelf, as_texts
+from setforge.llm.shared import Shelf, as_texts, freeing
 
 LENGTH = 2048
 END = 1
@@ -103,7 +103,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                     names=[id_col, "part", "before", "n", "ids16", "ids32"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, part bigint, before bigint, n bigint, ids16 binary, ids32 binary")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"`{id_col}` {id_type}, part bigint, before bigint, n bigint, ids16 binary, ids32 binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             arrays = [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *arrays], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return tokens.mapInArrow(run, f"`{id_col}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    return tokens.mapInArrow(freeing(run), f"`{id_col}` {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from setforge.llm.shared import map_batches
+from setforge.llm.shared import freeing, map_batches
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
@@ -268,7 +268,7 @@ def dealt_texts(rows: DataFrame, parts: int) -> DataFrame:
         for k in range(0, len(ends), 10_000):
             yield packed([(xxhash.xxh3_64_intdigest(key) % parts, key, ident, n, None) for key, (ident, n) in ends[k : k + 10_000]])
 
-    return rows.mapInArrow(run, _DEALT)
+    return rows.mapInArrow(freeing(run), _DEALT)
 
 
 class Part:
@@ -450,7 +450,7 @@ def repeats(rows: DataFrame, ranges: int) -> DataFrame:
         part, own = ref[hit] >> (ANCHOR + 6), ref[hit] & ((1 << (ANCHOR + 6)) - 1)
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own), pa.array(bits[hit].view(np.int64))], names=["part", "ref", "bits"])
 
-    return rows.repartitionById(ranges, "bucket").select("s", "id", "ref").mapInArrow(run, "part int, ref bigint, bits bigint")
+    return rows.repartitionById(ranges, "bucket").select("s", "id", "ref").mapInArrow(freeing(run), "part int, ref bigint, bits bigint")
 
 
 def covered(starts: np.ndarray, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
