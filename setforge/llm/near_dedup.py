@@ -22,7 +22,7 @@ the region's largest component against some of all; its cost is the product of
 these two numbers, so a group found in one component is not dealt out, and only a
 large one that does not link costs the square of its size.  Equal sets meet in a partially aggregated minimum.  Only classes with a candidate have
 their texts read again for full sets; a bit table of fixed size sifts out most
-others before texts are shuffled (a full one only costs work).
+others before sets are shuffled (a full one only costs work).
 
 Defined cases: null text or text without words is an empty set, linked with
 nothing; with fewer words than a shingle has, the whole sequence is the only
@@ -322,9 +322,8 @@ def _bits_of(ids: pa.Array) -> np.ndarray:
     return np.stack([found & np.uint64(SIEVE - 1), (found >> np.uint64(32)) & np.uint64(SIEVE - 1)]).astype(np.int64)
 
 
-def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (id, text) that may be among ``ids``: all that are, and few others."""
-    spark = docs.sparkSession
+def sieve_of(ids: DataFrame) -> np.ndarray:
+    """A bit table that holds all of ``ids``, and few others while it is not full."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SIEVE // 8, np.uint8)
@@ -338,33 +337,26 @@ def sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     held = ids.mapInArrow(freeing(bits), "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(SIEVE // 8, np.uint8)
     table[held["place"].to_numpy(np.int64)] = held["bits"].to_numpy(np.uint8)
-    sent = spark.sparkContext.broadcast(table)
-
-    def make():
-        table = sent.value
-
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = _bits_of(batch.column(0))
-            return batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).all(axis=0)))
-
-        return one
-
-    return map_batches(docs, make, docs.schema)
+    return table
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, hashes) for the documents named by ``ids``."""
+    """(id, hashes) for the documents named by ``ids``; one pass of Python sifts them and finds their shingles."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = sifted(wanted, ids).join(ids, "id", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(ids))
 
     def make():
+        table = sent.value
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = _bits_of(batch.column(0))
+            batch = batch.filter(pa.array(((table[at >> 3] >> (at & 7)) & 1).all(axis=0)))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in as_bytes(batch.column(1))], pa.binary())], names=["id", "hashes"])
 
         return one
 
-    return map_batches(wanted, make, f"id {id_type}, hashes binary")
+    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(wanted, make, f"id {id_type}, hashes binary").join(ids, "id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
