@@ -161,57 +161,45 @@ def jaccard_ml(b: float, n1: Column, n2: Column, d_plus: Column, d_minus: Column
     return F.when((n1 > 0) & (n2 > 0), golden_section(likelihood, F.lit(0.0), most)).otherwise(0.0)
 
 
-def mu(b: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum over all integers k of exp(-x b^-k) - exp(-y b^-k)."""
+def mu(b: float, x: np.ndarray, y: np.ndarray, first: int | None = None, last: int | None = None) -> np.ndarray:
+    """Sum over all integers k (or those from ``first`` to ``last``) of exp(-x b^-k) - exp(-y b^-k)."""
     x, y = np.broadcast_arrays(np.asarray(x, float), np.asarray(y, float))
-    centre = np.floor(np.log(np.maximum((x + y) / 2, 1e-300)) / math.log(b))
-    reach = int(math.ceil(40 / math.log(b))) + 2
-    k = centre[..., None] + np.arange(-reach, reach + 1)
-    scale = b**-k
+    top = np.log(np.maximum(np.maximum(x, y).max(initial=0.0), 1e-300)) / math.log(b)
+    bottom = np.log(np.maximum(np.minimum(x, y).min(initial=1.0), 1e-12)) / math.log(b)
+    low, high = int(math.floor(bottom - 7 / math.log(b))), int(math.ceil(top + 40 / math.log(b)))
+    k = np.arange(low if first is None else max(first, low), (high if last is None else min(last, high)) + 1)
+    scale = b ** -k.astype(float)
     return (np.exp(-x[..., None] * scale) * -np.expm1(-(y - x)[..., None] * scale)).sum(axis=-1)
 
 
-def jaccard_corrected(cfg: Registers, n1: float, n2: float, d_plus: int, d_minus: int, d_equal: int, both_zero: int) -> float:
-    """Likelihood search that tells registers untouched by both from others that are equal."""
-    if n1 <= 0 or n2 <= 0:
-        return 0.0
-    b, m = cfg.b, cfg.m
-    u, v = n1 / (n1 + n2), n2 / (n1 + n2)
-    total = n1 + n2
-    k = np.arange(0, cfg.q + 1)
-    scale = b ** -k.astype(float) * cfg.rate
+def jaccards_corrected(cfg: Registers, n1, n2, d_plus, d_minus, d_equal, both_zero) -> np.ndarray:
+    """Likelihood search, of many pairs at once, that tells registers untouched by both from others that are equal."""
+    n1, n2, d_plus, d_minus, d_equal, both_zero = (np.asarray(v, float)[:, None] for v in (n1, n2, d_plus, d_minus, d_equal, both_zero))
+    b, rate = cfg.b, cfg.rate
+    live = (n1 > 0) & (n2 > 0)
+    n1, n2 = np.where(live, n1, 1.0), np.where(live, n2, 1.0)
 
     def terms(j: np.ndarray) -> np.ndarray:
-        c = total / (1 + j)
-        d1, d2, both = c * (u - v * j), c * (v - u * j), c * j * (u + v)
-        # larger in the first: the first exceeds k while the rest does not, summed over k
-        def larger(own: np.ndarray, rest: np.ndarray) -> np.ndarray:
-            low = np.exp(-rest[:, None] * scale)
-            at_most = np.exp(-own[:, None] * scale)
-            upper = np.concatenate([at_most[:, 1:], np.ones((len(own), 1))], axis=1)
-            return (low * (upper - at_most)).sum(axis=1)
-
-        p, q = larger(d1, d2 + both), larger(d2, d1 + both)
-        zero = np.exp(-c * cfg.rate)
-        equal = np.maximum(1 - p - q - zero, 1e-300)
-        out = -both_zero * c * cfg.rate + (d_equal - both_zero) * np.log(equal)
-        for n, x in ((d_plus, p), (d_minus, q)):
-            if n:
-                out = out + n * np.log(np.maximum(x, 1e-300))
-        return out
-
-    del m
-    lo, hi = 0.0, min(u / v, v / u)
+        whole = rate * (n1 + n2) / (1 + j)
+        # larger in the first: at most k + 1 of what only it has, at most k of the second, less both at most k
+        p, q = (mu(b, rate * (np.maximum(0.0, own - other * j) / (b * (1 + j)) + other), whole, 0, cfg.q) for own, other in ((n1, n2), (n2, n1)))
+        equal = 1 - p - q - np.exp(-whole)
+        parts = ((d_plus, p), (d_minus, q), (d_equal - both_zero, equal))
+        return -both_zero * whole + sum(np.where(n > 0, n * np.log(np.maximum(x, 1e-300)), 0.0) for n, x in parts)
+
+    lo, hi = np.zeros_like(n1), np.minimum(n1 / n2, n2 / n1)
     for _ in range(12):
-        grid = np.linspace(lo, hi, 21)
-        best = int(np.argmax(terms(grid)))
-        lo, hi = grid[max(0, best - 1)], grid[min(20, best + 1)]
-    return (lo + hi) / 2
+        grid = lo + (hi - lo) * np.linspace(0, 1, 21)
+        best = np.argmax(terms(grid), axis=1)[:, None]
+        lo, hi = np.take_along_axis(grid, np.maximum(0, best - 1), 1), np.take_along_axis(grid, np.minimum(20, best + 1), 1)
+    return np.where(live, (lo + hi) / 2, 0.0)[:, 0]
 
 
 def _corrected_udf(cfg: Registers):
     def solve(n1: pd.Series, n2: pd.Series, p: pd.Series, q: pd.Series, e: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([jaccard_corrected(cfg, *row) for row in zip(n1, n2, p, q, e, z)], dtype=float)
+        step = max(1, int(2e6 / 21 / min(cfg.q + 1, 100 / cfg.log_b)))  # pairs whose terms fit in memory together
+        parts = [jaccards_corrected(cfg, *(v.iloc[k : k + step] for v in (n1, n2, p, q, e, z))) for k in range(0, len(n1), step)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     solve.__annotations__ = {**{c: pd.Series for c in ("n1", "n2", "p", "q", "e", "z")}, "return": pd.Series}
     return F.pandas_udf(solve, "double")

@@ -25,9 +25,9 @@ def running_registers(cfg, streams: DataFrame, grid: list[int]) -> DataFrame:
     return filled.withColumn("k", F.max("k").over(running)).where("k IS NOT NULL").select("example", "cardinality", "reg", "k")
 
 
-def cardinality_accuracy(spark: SparkSession, cfg, examples: int, grid: list[int], seed: int = 1) -> DataFrame:
+def cardinality_accuracy(spark: SparkSession, cfg, examples: int, grid: list[int], seed: int = 1, scheme: str = "xxhash64") -> DataFrame:
     """(cardinality, estimator, mean, mse, std, kurtosis)."""
-    registers = running_registers(cfg, example_streams(spark, examples, max(grid), seed), [c for c in grid if c])
+    registers = running_registers(cfg, example_streams(spark, examples, max(grid), seed, scheme), [c for c in grid if c])
     found = cardinality.estimates(cfg, registers, ["example", "cardinality"])
     return found.groupBy("cardinality", "estimator").agg(*stats.error_stats(F.col("estimate"), F.col("cardinality")))
 

@@ -50,10 +50,10 @@ def ids(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("index"), F.xxhash64("id", F.lit(seed)).alias("element"))
 
 
-def example_streams(spark: SparkSession, examples: int, n: int, seed: int) -> DataFrame:
-    """(example, i, element): independent streams of n elements."""
+def example_streams(spark: SparkSession, examples: int, n: int, seed: int, scheme: str = "xxhash64") -> DataFrame:
+    """(example, i, element): independent streams of n elements; for md5 the element is text that any database can make."""
     rows = spark.range(examples * n).select(F.floor(F.col("id") / n).cast("int").alias("example"), (F.col("id") % n).alias("i"))
-    return rows.withColumn("element", F.xxhash64(F.lit(seed), "example", "i"))
+    return rows.withColumn("element", F.concat_ws("|", F.lit(str(seed)), "example", "i") if scheme == "md5" else F.xxhash64(F.lit(seed), "example", "i"))
 
 
 def both_ways(df: DataFrame, one, two) -> tuple[DataFrame, DataFrame]:
