@@ -183,13 +183,13 @@ _CHUNKS = "SELECT floor(log2(o_orderkey + 1))::INT AS key, o_orderkey AS x FROM
 
 @query(
     "compose_binary",
-    f"WITH p AS ({registers_sql(_CHUNKS, GHLL2)}), w AS (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderkey < 64) SELECT n, reg, max(k) AS k FROM w JOIN p ON (n >> p.key) & 1 = 1 GROUP BY n, reg",
+    f"WITH p AS ({registers_sql(_CHUNKS, GHLL2)}), w AS (SELECT DISTINCT n FROM (SELECT max(o_orderkey) AS n FROM orders GROUP BY o_custkey)) SELECT n, reg, max(k) AS k FROM w JOIN p ON (n >> p.key) & 1 = 1 GROUP BY n, reg",
 )
 def compose_binary(spark: SparkSession, sf: str) -> DataFrame:
-    """Sketches of 0 .. 63 elements from sketches of powers of two; the 64 sizes are the feature."""
+    """Sketches of as many elements as each customer's last order key says, from sketches of powers of two."""
     orders = table(spark, sf, "orders")
     powers = sketches.build(GHLL2, orders.select(F.floor(F.log2(F.col("o_orderkey") + 1)).cast("int").alias("e"), F.col("o_orderkey").alias("x")), "x", ["e"])
-    return sketches.compose(GHLL2, powers, orders.where("o_orderkey < 64").select(F.col("o_orderkey").alias("n")).distinct())
+    return sketches.compose(GHLL2, powers, orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("n")).select("n").distinct())
 
 
 query("register_histogram", f"SELECT key, k, count(*) AS c FROM ({registers_sql(SEGMENT_ORDERS, GHLL2)}) GROUP BY key, k")(lambda s, d: sketches.histogram(sketches.build(GHLL2, segment_orders(s, d), "x", ["key"]), ["key"]))
@@ -321,6 +321,11 @@ def bulk_registers(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.bulk(SET1, supplier_parts(spark, sf), "x", ["key"])[0]
 
 
+@query("bulk_registers_setsketch2", registers_sql(SEGMENT_ORDERS, SET2))
+def bulk_registers_setsketch2(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.bulk(SET2, segment_orders(spark, sf), "x", ["key"])[0]
+
+
 @query("bulk_equals_stream", "SELECT l_suppkey AS key, 0::BIGINT AS differing FROM lineitem GROUP BY l_suppkey")
 def bulk_equals_stream(spark: SparkSession, sf: str) -> DataFrame:
     return experiments.bulk_test(SET2, supplier_parts(spark, sf), "x", "key").select("key", "differing")
@@ -447,7 +452,10 @@ query(
     "rng_chi2",
     f"SELECT count(*) AS cells, sum(c)::BIGINT AS n, round(sum(c * c) * 16.0 / sum(c) - sum(c), 6) AS chi2 FROM (SELECT {_hex("o_orderkey::VARCHAR || '|0'", 1, 1)} AS v, count(*) AS c FROM orders GROUP BY v)",
 )(lambda s, d: _chi2(s, d))
-query("bit_consistency", "SELECT b::INT AS bits, (SELECT count(*) FROM orders) AS n, 0::BIGINT AS differing FROM (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 60]) AS b)")(lambda s, d: experiments.bit_consistency(table(s, d, "orders"), "o_orderkey"))
+query(
+    "bit_consistency",
+    f"SELECT b::INT AS bits, count(*) AS n, 0::BIGINT AS differing, sum((h >> (60 - b)) % 1009)::BIGINT AS checksum FROM (SELECT {_hex("o_orderkey::VARCHAR || '|0'", 1, 15)} AS h FROM orders), (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 60]) AS b) GROUP BY b",
+)(lambda s, d: experiments.bit_consistency(table(s, d, "orders"), "o_orderkey"))
 
 
 def _chi2(spark: SparkSession, sf: str) -> DataFrame:

@@ -152,10 +152,10 @@ def rng_quality(rows: DataFrame, element: str, scheme: str = "md5", steps: int =
 
 
 def bit_consistency(rows: DataFrame, element: str, scheme: str = "md5") -> DataFrame:
-    """(bits, n, differing): reading n bits at once against reading them one by one."""
+    """(bits, n, differing, checksum): reading n bits at once against reading them one by one, whose values modulo 1009 are summed."""
     checks = []
     for n in (1, 2, 3, 5, 8, 13, 21, 34, 55, 60):
         together = F.shiftrightunsigned(random.n_bits(scheme, F.col(element), 0, 60), 60 - n)
         single = random.from_bits([random.one_bit(scheme, F.col(element), 0, i) for i in range(n)])
-        checks.append(F.struct(F.lit(n).alias("bits"), (together != single).alias("off")))
-    return rows.select(F.explode(F.array(*checks)).alias("s")).groupBy(F.col("s.bits").alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.off").cast("long")).alias("differing"))
+        checks.append(F.struct(F.lit(n).alias("bits"), (together != single).alias("off"), (single % 1009).alias("rest")))
+    return rows.select(F.explode(F.array(*checks)).alias("s")).groupBy(F.col("s.bits").alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.off").cast("long")).alias("differing"), F.sum("s.rest").alias("checksum"))
