@@ -235,20 +235,70 @@ def joint_simple_deprecated(cfg: Registers, compared: DataFrame) -> DataFrame:
     return compared.select(*PAIR, "n1", "n2", from_alpha_beta(F.col("n1"), F.col("n2"), alpha, beta).alias("q"))
 
 
-def joint_ml_deprecated(cfg: Registers, compared: DataFrame) -> DataFrame:
-    """alpha and beta of largest likelihood without use of the cardinalities."""
-    log_b, share, m = math.log(cfg.b), (cfg.b - 1) / cfg.b, float(cfg.m)
+def difference_slopes(b: float, share: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Derivative, by the probability that one register leads, of ln P(it leads by exactly ``lead``).
 
-    def solved(own: Column, other: Column) -> Column:
-        q = other / m
-
-        def likelihood(x: Column) -> Column:
-            p = -F.log1p(-x * share) / log_b
-            return _times_log(own, p) + _times_log(F.lit(m) - own - other, 1 - p - q)
-
-        return golden_section(likelihood, F.lit(0.0), F.lit(1.0))
-
-    return compared.select(*PAIR, "n1", "n2", from_alpha_beta(F.col("n1"), F.col("n2"), solved(F.col("d_plus"), F.col("d_minus")), solved(F.col("d_minus"), F.col("d_plus"))).alias("q"))
+    ``share`` is that side's own share of the elements.  A register leads by at
+    least l with probability log_b(b (s + r) / (s + b r)) for s = share b^(1 - l)
+    and r = 1 - share; the sum over all levels is replaced by its integral.
+    """
+    rest, s = 1 - share, b ** (1.0 - lead)
+    parts = [(share * s + rest * b**e, s - b**e) for e in (0, 1, 2)]
+    chance = np.log1p(parts[1][0] ** -2 * share * s * rest * (b - 1) ** 2)
+    slope = parts[0][1] / parts[0][0] - 2 * parts[1][1] / parts[1][0] + parts[2][1] / parts[2][0]
+    leads = (b - 1) / (b - (b - 1) * share) / math.log(b)
+    return slope / chance / leads
+
+
+def shares_ml(cfg: Registers, leads: list[dict[int, int]], price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each histogram {lead: count}, the own share whose likelihood grows by ``price`` for each unit of leading probability, and that probability."""
+    width = max((len(h) for h in leads), default=0) or 1
+    lead, count = np.ones((len(leads), width)), np.zeros((len(leads), width))
+    for row, h in enumerate(leads):
+        lead[row, : len(h)], count[row, : len(h)] = list(h), list(h.values())
+    some = count.sum(axis=1) > 0
+    lo, hi = np.zeros(len(leads)), some.astype(float)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        inside = np.where((mid > 0) & (mid < 1), mid, 0.5)
+        up = (count * difference_slopes(cfg.b, inside[:, None], lead)).sum(axis=1) > price
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    share = np.where(some, (lo + hi) / 2, 0.0)
+    return share, -np.log1p(-share * (cfg.b - 1) / cfg.b) / cfg.log_b
+
+
+def own_shares(cfg: Registers, ahead: list[dict[int, int]], behind: list[dict[int, int]], equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Own shares of both sides, of largest likelihood given by how much registers differ.
+
+    Probabilities of leading, trailing and being equal sum to one; the price of
+    that constraint is found by bisection, and each side follows from it alone.
+    """
+    lo, hi = np.log(np.maximum(equal, 1e-9)), np.full(len(equal), math.log(16.0 * cfg.m))
+    for _ in range(60):
+        price = np.exp((lo + hi) / 2)
+        spent = shares_ml(cfg, ahead, price)[1] + shares_ml(cfg, behind, price)[1] + equal / price
+        lo, hi = np.where(spent > 1, (lo + hi) / 2, lo), np.where(spent > 1, hi, (lo + hi) / 2)
+    price = np.where(equal > 0, np.exp((lo + hi) / 2), 0.0)  # without equal registers each side stands alone
+    return shares_ml(cfg, ahead, price)[0], shares_ml(cfg, behind, price)[0]
+
+
+def _own_shares_udf(cfg: Registers):
+    def solve(histogram: pd.Series, equal: pd.Series) -> pd.DataFrame:
+        ahead = [{int(d["difference"]): d["c"] for d in h if d["difference"] > 0} for h in histogram]
+        behind = [{-int(d["difference"]): d["c"] for d in h if d["difference"] < 0} for h in histogram]
+        alpha, beta = own_shares(cfg, ahead, behind, equal.to_numpy(float))
+        return pd.DataFrame({"alpha": alpha, "beta": beta})
+
+    solve.__annotations__ = {"histogram": pd.Series, "equal": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(solve, "alpha double, beta double")
+
+
+def joint_ml_deprecated(cfg: Registers, compared: DataFrame, differences: DataFrame) -> DataFrame:
+    """alpha and beta of largest likelihood given ``differences``, a difference_histogram, without use of the cardinalities."""
+    held = differences.groupBy(*PAIR).agg(F.collect_list(F.struct("difference", "c")).alias("histogram"))
+    rows = compared.join(held, PAIR, "left").withColumn("histogram", F.coalesce("histogram", F.array().cast("array<struct<difference:bigint,c:bigint>>")))
+    found = rows.select(*PAIR, "n1", "n2", _own_shares_udf(cfg)("histogram", F.col("d_equal").cast("double")).alias("own"))
+    return found.select(*PAIR, "n1", "n2", from_alpha_beta(F.col("n1"), F.col("n2"), F.col("own.alpha"), F.col("own.beta")).alias("q"))
 
 
 def bounds(b: float, m: int, compared: DataFrame) -> DataFrame:

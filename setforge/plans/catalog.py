@@ -285,8 +285,6 @@ def larger_share(x: str, b: float) -> str:
     return f"(-ln(1 - ({x}) * {(b - 1) / b!r}::DOUBLE) / ln({b!r}::DOUBLE))"
 
 
-query("joint_ml_deprecated")(lambda s, d: _spread(joint.joint_ml_deprecated(GHLL2, _compared(GHLL2, s, d, cardinality.simple)[2])))
-
 _INV = lambda c: f"((1 - pow(2.0::DOUBLE, -{c} / {GHLL2.m}::DOUBLE)) * 2)"
 query("joint_simple_deprecated", f"WITH {_GHLL_PAIRS}, {quantities_sql(f'greatest(0, 1 - {_INV('d_plus')} - {_INV('d_minus')})')}")(lambda s, d: _spread(joint.joint_simple_deprecated(GHLL2, _compared(GHLL2, s, d, cardinality.simple)[2])))
 query(

@@ -95,6 +95,42 @@ _CLIP = "greatest(0, least({0}, n1 / n2, n2 / n1))"
 
 query("joint_new_ml", f"WITH RECURSIVE {_PAIRS}, {ternary_sql(plain_likelihood(GHLL2.b), 'p')}, {quantities_sql('jm', 'found', 2)}")(lambda s, d: _spread(joint.joint_new(GHLL2, _compared(GHLL2, s, d, cardinality.simple)[2]), 2))
 
+
+def leading_slope_sql(histogram: str, share: str, b: float) -> str:
+    """Derivative of the likelihood of leads by the probability of leading, at a side's own share of the elements."""
+    s, r = f"({share} * pow({b!r}::DOUBLE, 1 - h.lead))", f"(1 - {share})"
+    f0, f1, f2 = (f"({s} + {r} * {b**e!r}::DOUBLE)" for e in (0, 1, 2))
+    g0, g1, g2 = (f"(pow({b!r}::DOUBLE, 1 - h.lead) - {b**e!r}::DOUBLE)" for e in (0, 1, 2))
+    each = f"({g0} / {f0} - 2 * {g1} / {f1} + {g2} / {f2}) / ln({f0} * {f2} / ({f1} * {f1}))"
+    return f"(coalesce(list_sum(list_transform({histogram}, lambda h: h.c * {each})), 0) * (1 - {share} * {(b - 1) / b!r}::DOUBLE) * ln({b!r}::DOUBLE) / {(b - 1) / b!r}::DOUBLE)"
+
+
+def own_share_sql(name: str, own: str, other: str, b: float) -> str:
+    """CTEs up to ``name``: (k1, k2, share) by bisection; at each share of one side the constraint gives the other's."""
+    leads, log_b = f"(-ln(1 - mid * {(b - 1) / b!r}::DOUBLE) / ln({b!r}::DOUBLE))", f"ln({b!r}::DOUBLE)"
+    return f"""b_{name} AS (SELECT k1, k2, d_equal, {own} AS own, {other} AS other, 0 AS step, 0::DOUBLE AS lo, 1::DOUBLE AS hi FROM hs
+ UNION ALL SELECT k1, k2, d_equal, own, other, step + 1, CASE WHEN high THEN lo ELSE mid END, CASE WHEN high THEN mid ELSE hi END
+ FROM (SELECT *, CASE WHEN d_equal = 0 THEN slope < 0 WHEN len(other) = 0 THEN slope < d_equal / (1 - {leads}) WHEN slope <= 0 OR left_over <= 0 THEN true
+   ELSE {leading_slope_sql('other', f'((1 - pow({b!r}::DOUBLE, -left_over)) * {b / (b - 1)!r}::DOUBLE)', b)} > slope END AS high
+  FROM (SELECT *, 1 - {leads} - d_equal / nullif(slope, 0) AS left_over
+   FROM (SELECT *, {leading_slope_sql('own', 'mid', b)} AS slope FROM (SELECT *, (lo + hi) / 2 AS mid FROM b_{name} WHERE step < 50))))),
+{name} AS (SELECT k1, k2, CASE WHEN len(own) = 0 THEN 0 ELSE (lo + hi) / 2 END AS share FROM b_{name} WHERE step = 50)"""
+
+
+_HISTOGRAMS = """dh AS (SELECT a.key AS k1, b.key AS k2, a.k - b.k AS d, count(*) AS c FROM full_regs a JOIN full_regs b ON a.reg = b.reg AND a.key < b.key GROUP BY ALL),
+hs AS (SELECT k1, k2, coalesce(sum(c) FILTER (d = 0), 0) AS d_equal, coalesce(list({'lead': d, 'c': c}) FILTER (d > 0), []) AS ahead, coalesce(list({'lead': -d, 'c': c}) FILTER (d < 0), []) AS behind FROM dh GROUP BY k1, k2)"""
+
+
+@query(
+    "joint_ml_deprecated",
+    f"WITH RECURSIVE {_PAIRS}, {_HISTOGRAMS}, {own_share_sql('sa', 'ahead', 'behind', GHLL2.b)}, {own_share_sql('sb', 'behind', 'ahead', GHLL2.b)}, "
+    f"ps AS (SELECT p.*, sa.share AS own1, sb.share AS own2 FROM p JOIN sa USING (k1, k2) JOIN sb USING (k1, k2)), {quantities_sql('greatest(0, 1 - own1 - own2)', 'ps', 2)}",
+)
+def joint_ml_deprecated(spark: SparkSession, sf: str) -> DataFrame:
+    regs, wanted, compared = _compared(GHLL2, spark, sf, cardinality.simple)
+    return _spread(joint.joint_ml_deprecated(GHLL2, compared, joint.difference_histogram(regs, "key", wanted)), 2)
+
+
 # few elements a set, so that many registers stay untouched
 _FEW = "SELECT o_orderpriority AS key, o_custkey AS x FROM orders WHERE o_totalprice > 300000"
 _FEW_PAIRS = compared_sql(GHLL2, simple_sql(_R, GHLL2), _FEW)

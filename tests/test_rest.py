@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from setforge.config import GeneralizedHyperLogLog, HyperMinHash, SetSketch1
 from setforge.functions import random, scalar, theory
-from setforge.operators import sketches, stats
+from setforge.operators import joint, sketches, stats
 from setforge.plans import experiments
 from setforge.sources import grids, results
 from setforge.streaming import sketch_stream
@@ -147,3 +147,26 @@ def test_contract(spark):
     names = contract.queries()
     assert set(contract.oracle_sql()) <= set(names)
     assert contract.entry(spark).count() > 0
+
+
+def test_own_shares_are_those_of_largest_likelihood():
+    cfg = GeneralizedHyperLogLog(m=256, b=2.0, q=62)
+    rng = np.random.default_rng(3)
+    grid = (np.arange(400) + 0.5) / 400
+
+    def at_least(share, lead):
+        s = share * cfg.b ** (1.0 - lead)
+        return np.log(cfg.b * (s + 1 - share) / (s + cfg.b * (1 - share))) / np.log(cfg.b)
+
+    def log_likelihood(histogram):
+        return sum((c * np.log(at_least(grid, lead) - at_least(grid, lead + 1)) for lead, c in histogram.items()), np.zeros(len(grid)))
+
+    cases = [({1: 5, 2: 3}, {1: 9, 3: 1}, 200.0), ({1: 40, 2: 9, 5: 1}, {}, 90.0), ({}, {}, 256.0), ({}, {2: 1}, 255.0)]
+    cases += [({k + 1: int(c) for k, c in enumerate(rng.integers(1, 30, 4))}, {k + 1: int(c) for k, c in enumerate(rng.integers(1, 30, 3))}, float(rng.integers(1, 99))) for _ in range(4)]
+    one, two = joint.own_shares(cfg, [c[0] for c in cases], [c[1] for c in cases], np.array([c[2] for c in cases]))
+    for (ahead, behind, equal), x, y in zip(cases, one, two):
+        first, second = np.where(bool(ahead), at_least(grid, 1), 0.0)[:, None], np.where(bool(behind), at_least(grid, 1), 0.0)[None, :]
+        rest = 1 - first - second
+        value = log_likelihood(ahead)[:, None] + log_likelihood(behind)[None, :] + np.where(rest > 0, equal * np.log(np.maximum(rest, 1e-300)), -np.inf)
+        i, j = np.unravel_index(np.argmax(value), value.shape)
+        assert abs(x - (grid[i] if ahead else 0)) < 0.004 and abs(y - (grid[j] if behind else 0)) < 0.004
