@@ -7,9 +7,10 @@ phrase sets, which behaves like a compression distance.
 
 ``fingerprint_with_next`` also fingerprints an edited text, for which each
 document needs its successor in descending id order.  Rows are dealt to ranges
-of ids; the first document of a range is sent to the range before as well, so
-that every task holds all successors it needs.  Texts are shuffled once and no
-task sees more than its range.
+of ids, one a partition; the first document of a range is sent to the range
+before as well, so that every task holds all successors it needs.  Texts are
+shuffled once and no task sees more than its range.  Ranges grow in number with
+the text, not in size; their bounds and largest ids are all that the driver holds.
 
 Defined cases: null text is empty text, whose phrase set is empty and whose
 fingerprint equals only that of another empty text; equal texts have equal
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from setforge.llm.shared import as_texts, freeing, map_batches
 
 SLOTS = 64
+#: Bytes of text of a range of ids, about, and rows sampled for each range to find its bounds.
+RANGE_BYTES, SAMPLE = 128 << 20, 32
 #: Stands for a null id, which comes last in descending order.
 NO_ID = -(1 << 63)
 _MASK = (1 << 64) - 1
@@ -106,20 +109,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {id_type}, fingerprint string")
 
 
-def _ranges(docs: DataFrame, id_col: str) -> tuple[list[int], dict[int, int]]:
-    """Upper bounds of id ranges, one for each partition of the session, and for each range that has rows its largest id."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.stat.approxQuantile(id_col, [k / parts for k in range(1, parts + 1)], 0.1 / parts)))
-    bounds = [int(b) for b in bounds]
-    sent = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    if sent is None:
-        return [], {}
-    of = F.size(F.filter(sent, lambda b: b < F.col(id_col)))
-    return bounds, {r["part"]: r["top"] for r in docs.groupBy(of.alias("part")).agg(F.max(id_col).alias("top")).collect()}
+def _ranges(rows: DataFrame, range_bytes: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Bounds between ranges of about ``range_bytes`` of text, and for each range that has rows its largest id.
+
+    There are at least as many ranges as the session has shuffle partitions, so that small tables use all cores.
+    """
+    spark = rows.sparkSession
+    weighed = rows.select("id", (F.octet_length("text") + 64).alias("weight"))
+    whole = weighed.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).first()
+    if not whole["n"]:
+        return np.zeros(0, np.int64), {}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole["weight"] // range_bytes))
+    share = SAMPLE * parts / whole["n"]
+    seen = (weighed if share >= 1 else weighed.sample(share, seed=1)).toPandas().sort_values("id")
+    ids, reached = seen["id"].to_numpy(np.int64), np.cumsum(seen["weight"].to_numpy(np.float64))
+    bounds = np.unique(ids[np.searchsorted(reached, reached[-1] * np.arange(1, parts) / parts)]) if len(ids) else ids
+    sent = spark.sparkContext.broadcast(bounds)
+
+    def make():
+        bounds = sent.value
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            held = np.sort(np.asarray(batch.column(0)))
+            part = np.searchsorted(bounds, held)
+            last = np.append(part[1:] != part[:-1], True)
+            return pa.RecordBatch.from_arrays([pa.array(part[last], pa.int32()), pa.array(held[last])], names=["part", "top"])
+
+        return one
+
+    tops = map_batches(rows.select("id"), make, "part int, top bigint").groupBy("part").agg(F.max("top").alias("top"))
+    return bounds, {r["part"]: r["top"] for r in tops.toLocalIterator()}
 
 
-def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the one with the next smaller id, after the smallest the
@@ -128,7 +150,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds, tops = _ranges(rows, "id")
+    bounds, tops = _ranges(rows, range_bytes)
     # range k's last document is followed by the largest id of the range below, the lowest range's by the largest of all
     filled = sorted(tops)
     follows = {tops[k]: filled[i + 1] if i + 1 < len(filled) else filled[0] for i, k in enumerate(filled)}
@@ -153,7 +175,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return one
 
     dealt = map_batches(rows, deal, "part int, guest boolean, id bigint, text string")
-    dealt = dealt.repartition(max(1, len(bounds)), "part").sortWithinPartitions("part", "guest", F.desc("id"), "text")
+    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "guest", F.desc("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finished(one: tuple, following: tuple) -> tuple:

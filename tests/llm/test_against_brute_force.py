@@ -582,8 +582,20 @@ def test_parse_is_lempel_ziv():
         assert len(parse.hashes) - 1 == len(brute_phrases(data)) == len(set(parse.hashes[1:]))
 
 
-def test_fingerprints_of_edited_and_next_texts(docs, texts):
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint_with_next(docs).collect()}
+def test_ranges_grow_in_number_not_in_size(spark, docs):
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    bounds, tops = fingerprints._ranges(rows, 5000)
+    ids = np.array([r["id"] for r in rows.collect()])
+    sizes = {r["id"]: len(r["text"].encode()) for r in rows.collect()}
+    part = np.searchsorted(bounds, ids)
+    assert len(bounds) >= sum(sizes.values()) // 5000
+    assert max(sum(sizes[i] for i in ids[part == p]) for p in set(part)) < 3 * 5000
+    assert tops == {p: ids[part == p].max() for p in set(part)}
+
+
+@pytest.mark.parametrize("range_bytes", [fingerprints.RANGE_BYTES, 5000, 100])
+def test_fingerprints_of_edited_and_next_texts(docs, texts, range_bytes):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_with_next(docs, range_bytes=range_bytes).collect()}
     order = sorted(range(len(texts)), reverse=True)
     exact = []
     for k, i in enumerate(order):
