@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setforge.config import MinHash, Registers, SetSketch1, SetSketch2, SketchFamily, same
-from setforge.operators.points import exponential, register_value, setsketch1_points, setsketch2_points, updates
+from setforge.operators.points import register_value, setsketch1_points, setsketch2_points, updates
 
 
 def _best(cfg: SketchFamily) -> Column:
@@ -130,8 +130,3 @@ def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[s
     for got, ready in found[1:]:
         done, tried = done.unionByName(got), tried.unionByName(ready)
     return done.drop("attempts"), tried
-
-
-def exponential_points(cfg: SetSketch1, df: DataFrame, element: str) -> DataFrame:
-    """All points of all elements, for tests of the point law."""
-    return df.withColumn("reg", F.explode(F.sequence(F.lit(0), F.lit(cfg.m - 1)))).withColumn("x", exponential(cfg, F.col(element), F.col("reg")))

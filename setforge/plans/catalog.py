@@ -452,7 +452,7 @@ query(
 )(lambda s, d: _chi2(s, d))
 query(
     "bit_consistency",
-    f"SELECT b::INT AS bits, count(*) AS n, 0::BIGINT AS differing, sum((h >> (60 - b)) % 1009)::BIGINT AS checksum FROM (SELECT {_hex("o_orderkey::VARCHAR || '|0'", 1, 15)} AS h FROM orders), (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 60]) AS b) GROUP BY b",
+    f"SELECT b::INT AS bits, count(*) AS n, 0::BIGINT AS differing, sum((h >> (60 - b)) % 1009)::BIGINT AS checksum FROM (SELECT {_hex("o_orderkey::VARCHAR || '|0'", 1, 15)} AS h FROM orders), range(1, 61) t(b) GROUP BY b",
 )(lambda s, d: experiments.bit_consistency(table(s, d, "orders"), "o_orderkey"))
 
 

@@ -151,11 +151,10 @@ def rng_quality(rows: DataFrame, element: str, scheme: str = "md5", steps: int =
     return chi.unionByName(ks.select(*keys, "n", "statistic")).unionByName(z)
 
 
-def bit_consistency(rows: DataFrame, element: str, scheme: str = "md5") -> DataFrame:
-    """(bits, n, differing, checksum): reading n bits at once against reading them one by one, whose values modulo 1009 are summed."""
-    checks = []
-    for n in (1, 2, 3, 5, 8, 13, 21, 34, 55, 60):
-        together = F.shiftrightunsigned(random.n_bits(scheme, F.col(element), 0, 60), 60 - n)
-        single = random.from_bits([random.one_bit(scheme, F.col(element), 0, i) for i in range(n)])
-        checks.append(F.struct(F.lit(n).alias("bits"), (together != single).alias("off"), (single % 1009).alias("rest")))
-    return rows.select(F.explode(F.array(*checks)).alias("s")).groupBy(F.col("s.bits").alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.off").cast("long")).alias("differing"), F.sum("s.rest").alias("checksum"))
+def bit_consistency(rows: DataFrame, element: str, scheme: str = "md5", most: int = 60) -> DataFrame:
+    """(bits, n, differing, checksum) for 1 to ``most`` bits: reading n bits at once against reading them one by one, whose values modulo 1009 are summed."""
+    read = rows.select(random.n_bits(scheme, F.col(element), 0, 60).alias("together"), F.array(*(random.one_bit(scheme, F.col(element), 0, i) for i in range(most))).alias("singles"))
+    dealt = read.select("together", F.posexplode("singles"), "singles").select((F.col("pos") + 1).alias("bits"), "together", "singles")
+    single = F.aggregate(F.slice("singles", 1, F.col("bits")), F.lit(0).cast("bigint"), lambda v, bit: v * 2 + bit)
+    checks = dealt.select("bits", F.expr("shiftrightunsigned(together, 60 - bits)").alias("together"), single.alias("single"))
+    return checks.groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("together") != F.col("single")).cast("long")).alias("differing"), F.sum(F.col("single") % 1009).alias("checksum"))

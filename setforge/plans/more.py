@@ -13,10 +13,10 @@ from setforge.functions import random, scalar
 from setforge.operators import cardinality, joint, sketches
 from setforge.plans import experiments
 from setforge.plans.catalog import (
-    GHLL2, HLL, HMH, MIN, PRIORITY_CUSTOMERS, SEGMENT_ORDERS, SET1, SET2, SUPPLIER_PARTS, _compared, _grid, _grid_sql, _hex, _rounded, _spread,
+    GHLL2, HLL, HMH, MIN, ORACLE_SQL, PRIORITY_CUSTOMERS, SEGMENT_ORDERS, SET1, SET2, SUPPLIER_PARTS, _compared, _grid, _grid_sql, _hex, _rounded, _spread,
     compared_sql, key_pairs, larger_share, minhash_sql, priority_customers, quantities_sql, query, registers_sql, segment_orders, simple_sql, supplier_parts, table,
 )
-from setforge.sources import results
+from setforge.sources import grids, results
 
 # ---- likelihood of a cardinality: bisection on its derivative --------------
 
@@ -320,9 +320,33 @@ def _by_type():
     return Window.orderBy("event_type")
 
 
+@query("result_selection", "SELECT event_type, round(avg(value), 6) AS mean FROM events WHERE value > 50 GROUP BY event_type")
+def result_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Of result files with different configurations, the rows of one."""
+    kinds, events = {}, table(spark, sf, "events")
+    folder = _folder(spark)
+    for least in ("0", "50"):
+        found = events.where(F.col("value") > int(least)).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+        found = found.withColumn("at", F.row_number().over(_by_type()))
+        kinds[least] = found.select("at", "event_type")
+        results.write(found.select("at", "mean"), f"{folder}/above-{least}", {"least": least, "mode": "mean"}, ["at"])
+    rows = results.wide(results.of_config(results.read(spark, f"{folder}/*/part-*"), least="50", mode="mean"), ["at", "mean"])
+    return rows.withColumn("at", F.col("at").cast("int")).join(kinds["50"], "at").select("event_type", "mean")
+
+
 @query("number_lines", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem")
 def number_lines(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{_folder(spark)}/numbers"
     results.write_numbers(table(spark, sf, "lineitem"), "l_extendedprice", path)
     return results.read_numbers(spark, path).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
+
+# ---- sources ----------------------------------------------------------------
+
+query("grid_maxima", f"SELECT max(diff1) AS diff1, max(diff2) AS diff2, max(intersection) AS intersection FROM ({ORACLE_SQL['set_triples']})")(lambda s, d: grids.maxima(grids.triples_frame(s)))
+
+
+@query("same_data_two_sketches", f"SELECT 'hll' AS sketch, * FROM ({registers_sql(SEGMENT_ORDERS, HLL)}) UNION ALL SELECT 'ghll', * FROM ({registers_sql(SEGMENT_ORDERS, GHLL2)})")
+def same_data_two_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    hll, ghll = grids.both_ways(segment_orders(spark, sf), *(lambda rows, c=c: sketches.build(c, rows, "x", ["key"]) for c in (HLL, GHLL2)))
+    return hll.withColumn("sketch", F.lit("hll")).unionByName(ghll.withColumn("sketch", F.lit("ghll")))

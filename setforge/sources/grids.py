@@ -60,3 +60,8 @@ def both_ways(df: DataFrame, one, two) -> tuple[DataFrame, DataFrame]:
     """The same elements into two plans, computed once."""
     df = df.persist()
     return one(df), two(df)
+
+
+def maxima(grid: DataFrame) -> DataFrame:
+    """One row with the largest value of each column of a grid."""
+    return grid.agg(*(F.max(c).alias(c) for c in grid.columns))

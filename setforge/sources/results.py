@@ -56,14 +56,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Cells and not columns, because each file names its own; ``wide`` gives columns.
     """
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    clean = F.filter(F.transform(F.split(F.element_at("lines", 1), ";"), F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(F.split(F.element_at("lines", 1), ";"), lambda x: F.trim(x)), lambda x: x != "")
     info = F.map_from_entries(F.transform(clean, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.when(x.contains("="), F.trim(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("value"))))
-    rows = text.select("file", info.alias("info"), F.transform(F.split(F.element_at("lines", 2), ";"), F.trim).alias("names"), F.posexplode(F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))).alias("row", "line")).where(F.trim("line") != "")
+    rows = text.select("file", info.alias("info"), F.transform(F.split(F.element_at("lines", 2), ";"), lambda x: F.trim(x)).alias("names"), F.posexplode(F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0)))).alias("row", "line")).where(F.trim("line") != "")
     cells = rows.select("file", "info", "row", "names", F.posexplode(F.split("line", ";")).alias("at", "cell"))
     named = cells.withColumn("name", F.try_element_at("names", F.col("at") + 1)).where("name IS NOT NULL AND name <> ''")
     return named.select("file", "info", "row", "name", F.trim("cell").cast("double").alias("value"))
 
 
+def of_config(cells: DataFrame, **wanted: str) -> DataFrame:
+    """The cells of files whose metadata has all the values wanted."""
+    for key, value in wanted.items():
+        cells = cells.where(F.element_at("info", key) == value)
+    return cells
+
+
 def wide(cells: DataFrame, names: list[str]) -> DataFrame:
     """A column for each of ``names``."""
     picked = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]

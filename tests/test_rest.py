@@ -170,3 +170,14 @@ def test_own_shares_are_those_of_largest_likelihood():
         value = log_likelihood(ahead)[:, None] + log_likelihood(behind)[None, :] + np.where(rest > 0, equal * np.log(np.maximum(rest, 1e-300)), -np.inf)
         i, j = np.unravel_index(np.argmax(value), value.shape)
         assert abs(x - (grid[i] if ahead else 0)) < 0.004 and abs(y - (grid[j] if behind else 0)) < 0.004
+
+
+def test_results_are_selected_by_configuration(spark, tmp_path):
+    for m, mode in (("100", "fast"), ("10", "fast"), ("100", "slow0")):
+        results.write(spark.createDataFrame([(0, float(m)), (1, 2.0)], "at0 int, `1v` double"), f"{tmp_path}/{m}-{mode}", {"0m": m, "mode": mode, "100": ""}, ["at0"])
+    cells = results.read(spark, f"{tmp_path}/*/part-*")
+    picked = results.of_config(cells, **{"0m": "100", "mode": "slow0"})
+    assert {r["file"].split("/")[-2] for r in picked.collect()} == {"100-slow0"}
+    assert picked.select("info").first()["info"] == {"0m": "100", "mode": "slow0", "100": ""}
+    assert sorted((r["row"], r["at0"], r["1v"]) for r in results.wide(picked, ["at0", "1v"]).collect()) == [(0, 0.0, 100.0), (1, 1.0, 2.0)]
+    assert not results.of_config(cells, mode="none").collect()
