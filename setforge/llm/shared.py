@@ -137,3 +137,22 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def as_texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
+
+
+#: Lower-cases A-Z and blanks every ASCII byte that is neither a digit nor a letter.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 57 < b < 97 or 122 < b < 128 else b for b in range(256))
+
+
+def plain_words(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of digits, letters and non-ASCII characters, A-Z lowered, from pieces of about ``size`` bytes of a text of any length."""
+    start = 0
+    while start < len(text):
+        piece = text[start : start + size].translate(WORD_BYTES)
+        start += len(piece)
+        # on to the end of the word that the piece cuts
+        while start < len(text) and not piece.endswith(b" "):
+            more = text[start : start + 4096].translate(WORD_BYTES)
+            stop = more.find(b" ") + 1 or len(more)
+            piece, start = piece + more[:stop], start + stop
+        if words := piece.split():
+            yield words

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from setforge.llm import fingerprints, langid, lm, mixing, near_dedup, packing, pii, quality_rules, rule_ensemble, substring_dedup
+from setforge.llm import fill_in_middle, fingerprints, langid, licenses, lm, mixing, near_dedup, packing, pii, quality_rules, resample, rule_ensemble, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, `size` int"
 LONG = "lorem ipsum dolor sit amet " * 3000
@@ -46,6 +46,9 @@ OPERATORS = {
     "fingerprints": fingerprints.fingerprint_with_next,
     "near": near_dedup.near_duplicates,
     "rules": lambda d: quality_rules.quality_rules(d)[0],
+    "resample": lambda d: resample.resample(d, d.select(F.col("text").alias("wanted")), target_text_col="wanted", percent=50)[0],
+    "licenses": lambda d: licenses.scan_licenses(d)[0],
+    "middle": lambda d: fill_in_middle.fill_in_middle(d, with_digests=True)[0],
     "quality": lambda d: rule_ensemble.score(d, rule_ensemble.fit(d, d.select("doc_id", F.lit(1).alias("quality")))),
 }
 
