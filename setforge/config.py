@@ -131,7 +131,7 @@ class HyperMinHash:
 
 
 class SketchFamily(Protocol):
-    """The least a family needs to be built, merged and described."""
+    """The least a configuration has; ``setforge.operators.families`` says what more it may answer."""
 
     name: str
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setforge.config import HyperMinHash, MinHash, Registers
 from setforge.functions.scalar import hll_alpha
+from setforge.operators import families
 from setforge.operators.points import hyperminhash_to_hll
 
 
@@ -88,58 +90,60 @@ def _g(x: np.ndarray) -> np.ndarray:
     return np.where(x == 0, 1.0, np.where(x > 700, 0.0, safe / np.expm1(safe)))
 
 
-def ml_from_counts(cfg: Registers, counts: np.ndarray) -> float:
-    """Maximum likelihood from counts[k], k = 0 .. q+1."""
-    top = cfg.q + 1
-    k = np.arange(top + 1)
-    if cfg.range_correction:
-        if counts[0] == cfg.m:
-            return 0.0
-        if counts[top] == cfg.m:
-            return math.inf
-        body, zeros, tail = (k >= 1) & (k <= cfg.q), counts[0], counts[top]
-        scaled = np.flatnonzero((k <= cfg.q) & (counts > 0))
+def ml_from_histograms(cfg: Registers, values: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """Maximum likelihood for many sketches at once, each given by the register values it has and how often.
+
+    Untouched registers may be left out.  The likelihood's derivative falls, so all
+    are solved by one bisection.
+    """
+    out = np.zeros(len(values))
+    step = max(1, (1 << 20) // (max(map(len, values), default=0) + 1))
+    for lo in range(0, len(values), step):
+        out[lo : lo + step] = _ml_together(cfg, values[lo : lo + step], counts[lo : lo + step])
+    return out
+
+
+def _ml_together(cfg: Registers, values: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    wide = max(map(len, values)) + 1
+    k, c = np.zeros((len(values), wide)), np.zeros((len(values), wide))
+    for row, (v, n) in enumerate(zip(values, counts)):
+        v, n = np.asarray(v, float), np.asarray(n, float)
+        k[row, 1 : len(v) + 1], c[row, 1 : len(v) + 1] = v, np.where(v > 0, n, 0)
+    c[:, 0] = cfg.m - c.sum(axis=1)  # the untouched ones
+    zeros, saturated = c[:, 0], k > cfg.q
+    if cfg.range_correction:  # nothing is below 0 or above q + 1
+        tail = np.where(saturated, c, 0.0).sum(axis=1)
+        body, scaled = np.where((k > 0) & ~saturated, c, 0.0), np.where(saturated, 0.0, c)
     else:
-        body, zeros, tail = np.ones(top + 1, bool), 0, 0
-        scaled = np.flatnonzero(counts > 0)
-    z = cfg.rate * float((counts[scaled] * cfg.b ** -scaled.astype(float)).sum())
-    if z == 0:
-        return math.inf
-    own = np.flatnonzero(body & (counts > 0))
-    step = cfg.rate * (cfg.b - 1) * cfg.b ** -own.astype(float)
-    last = cfg.rate * cfg.b**-cfg.q
-    lo, hi = 0.0, (cfg.m - zeros) / z
+        tail, zeros, body, scaled = np.zeros(len(c)), np.zeros(len(c)), c, c
+    z = cfg.rate * (scaled * cfg.b**-k).sum(axis=1)
+    width, last = cfg.rate * (cfg.b - 1) * cfg.b**-k, cfg.rate * cfg.b**-cfg.q
+    live = z > 0
+    lo, hi = np.zeros(len(c)), (cfg.m - zeros) / np.where(live, z, 1.0)
     for _ in range(200):
         n = (lo + hi) / 2
-        value = float((counts[own] * _g(n * step)).sum()) + tail * float(_g(np.array(n * last))) - n * z
-        lo, hi = (n, hi) if value > 0 else (lo, n)
-        if hi - lo <= 1e-12 * hi:
+        rises = (body * _g(n[:, None] * width)).sum(axis=1) + tail * _g(n * last) > n * z
+        lo, hi = np.where(rises, n, lo), np.where(rises, hi, n)
+        if (hi - lo <= 1e-12 * hi).all():
             break
-    return (lo + hi) / 2
+    return np.where(live, (lo + hi) / 2, np.inf)
 
 
-def ml(cfg: Registers, sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., estimate) by maximum likelihood; a row of the histogram for each key reaches a numpy solver."""
-    held = sketches.where("k > 0").groupBy(*keys, "k").agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy(*keys).agg(F.collect_list("k").alias("ks"), F.collect_list("c").alias("cs"))
-
-    solve = F.pandas_udf(_series_solver(cfg), "double")
-    return held.select(*keys, solve("ks", "cs").alias("estimate"))
+def ml_from_counts(cfg: Registers, counts: np.ndarray) -> float:
+    """Maximum likelihood of one sketch from counts[k], k = 0 .. q+1."""
+    k = np.flatnonzero(counts)
+    return float(ml_from_histograms(cfg, [k], [np.asarray(counts)[k]])[0])
 
 
-def _series_solver(cfg: Registers):
-    import pandas as pd
+def ml(cfg: Registers, sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., estimate) by maximum likelihood; register histograms, one row a key, are solved a batch at a time."""
+    held = sketches.where("k > 0").groupBy(*keys, "k").agg(F.count(F.lit(1)).cast("int").alias("c")).groupBy(*keys).agg(F.collect_list("k").alias("ks"), F.collect_list("c").alias("cs"))
 
     def solve(ks: pd.Series, cs: pd.Series) -> pd.Series:
-        out = []
-        for k, c in zip(ks, cs):
-            counts = np.zeros(cfg.q + 2)
-            counts[np.asarray(k, int)] = c
-            counts[0] = cfg.m - counts.sum()
-            out.append(ml_from_counts(cfg, counts))
-        return pd.Series(out)
+        return pd.Series(ml_from_histograms(cfg, list(ks), list(cs)))
 
     solve.__annotations__ = {"ks": pd.Series, "cs": pd.Series, "return": pd.Series}
-    return solve
+    return held.select(*keys, F.pandas_udf(solve, "double")("ks", "cs").alias("estimate"))
 
 
 def minhash(cfg: MinHash, sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,16 +177,17 @@ def hyperminhash_original(cfg: HyperMinHash, sketches: DataFrame, keys: list[str
     return counts.select(*keys, F.when(low < float(1 << (cfg.bucket_bits + 10)), low).otherwise(high).alias("estimate"))
 
 
+families.estimators.register(Registers, lambda cfg: {"simple": simple, "ml": ml})
+families.estimators.register(MinHash, lambda cfg: {"simple": minhash, "ml": minhash})
+families.estimators.register(HyperMinHash, lambda cfg: {"new": hyperminhash_new, "original": hyperminhash_original})
+
+
+def own(cfg) -> families.Estimator:
+    """The estimator that joint quantities rest on."""
+    return next(iter(families.estimators(cfg).values()))
+
+
 def estimates(cfg, sketches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., estimator, estimate) with each family's own labels."""
-    if isinstance(cfg, MinHash):
-        found = {"simple": minhash(cfg, sketches, keys), "ml": minhash(cfg, sketches, keys)}
-    elif isinstance(cfg, HyperMinHash):
-        found = {"original": hyperminhash_original(cfg, sketches, keys), "new": hyperminhash_new(cfg, sketches, keys)}
-    else:
-        found = {"simple": simple(cfg, sketches, keys), "ml": ml(cfg, sketches, keys)}
-    out = None
-    for label, df in found.items():
-        df = df.withColumn("estimator", F.lit(label)).select(*keys, "estimator", "estimate")
-        out = df if out is None else out.unionByName(df)
-    return out
+    found = [estimate(cfg, sketches, keys).select(*keys, F.lit(label).alias("estimator"), "estimate") for label, estimate in families.estimators(cfg).items()]
+    return reduce(DataFrame.unionByName, found)

@@ -9,6 +9,7 @@ golden-section steps inside one expression, so they stay in the JVM.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from setforge.config import HyperMinHash, MinHash, Registers
 from setforge.functions.scalar import jaccard_lower, jaccard_upper
-from setforge.operators import cardinality
+from setforge.operators import cardinality, families
 from setforge.operators.points import hyperminhash_to_ghll, hyperminhash_to_hll
+from setforge.sources.stored import stored
 
 QUANTITIES = ("difference1", "difference2", "intersection", "cardinality1", "cardinality2", "union", "jaccard", "cosine", "inclusion1", "inclusion2", "alpha", "beta")
 PAIR = ["k1", "k2"]
@@ -87,7 +89,7 @@ def pairs(cfg, sketches: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     twos = wanted.join(regs.withColumnRenamed("k", "b"), F.col("k2") == F.col("__key")).select(*PAIR, "reg", F.lit(None).cast("bigint").alias("a"), "b")
     # a union and a grouped maximum instead of a full outer join: one shuffle, and it combines before it
     both = ones.withColumn("a", F.col("a").cast("bigint")).unionByName(twos.withColumn("b", F.col("b").cast("bigint"))).groupBy(*PAIR, "reg").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    empty = cfg.span if isinstance(cfg, MinHash) else 0
+    empty = families.empty(cfg)
     a, b = F.coalesce("a", F.lit(empty)), F.coalesce("b", F.lit(empty))
     top = getattr(cfg, "q", 1 << 60) + 1
     count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
@@ -116,7 +118,7 @@ def union_estimate(cfg, sketches: DataFrame, key: str, wanted: DataFrame, estima
     """(k1, k2, union): the sketches are merged pair by pair, then estimated."""
     sides = wanted.select(*PAIR, F.explode(F.array("k1", "k2")).alias("__of"))
     rows = sides.join(sketches.select(F.col(key).alias("__of"), "reg", "k"), "__of").select(*PAIR, "reg", "k")
-    merged = rows.groupBy(*PAIR, "reg").agg((F.min("k") if isinstance(cfg, MinHash) else F.max("k")).alias("k"))
+    merged = rows.groupBy(*PAIR, "reg").agg(families.best(cfg))
     return estimate(cfg, merged, PAIR).withColumnRenamed("estimate", "union")
 
 
@@ -206,18 +208,24 @@ def _corrected_udf(cfg: Registers):
 
 
 def joint_new(cfg: Registers, compared: DataFrame, joint_range_correction: bool = False, incl_excl_fallback: bool = False) -> DataFrame:
-    """(k1, k2, n1, n2, q) by likelihood; ``compared`` has n1 and n2.
+    """(k1, k2, n1, n2, q) by likelihood; ``compared`` has n1 and n2, and for the fallback ``union``.
 
     Pairs with registers both untouched or both saturated are treated by the two
-    options, which are off by default as in all published configurations.
+    options, which are off by default as in all published configurations: the
+    correction takes those without saturated registers, the fallback to inclusion
+    and exclusion those that are left.
     """
-    j = jaccard_ml(cfg.b, F.col("n1"), F.col("n2"), F.col("d_plus"), F.col("d_minus"), F.col("d_equal"))
-    extreme = (F.col("both_zero") > 0) | (F.col("both_top") > 0)
+    if incl_excl_fallback and "union" not in compared.columns:
+        raise ValueError("the fallback needs the column union")
+    n1, n2 = F.col("n1"), F.col("n2")
+    plain = jaccard_ml(cfg.b, n1, n2, F.col("d_plus"), F.col("d_minus"), F.col("d_equal"))
+    extreme, saturated = (F.col("both_zero") > 0) | (F.col("both_top") > 0), F.col("both_top") > 0
+    q = from_jaccard(n1, n2, plain)
+    if incl_excl_fallback:
+        q = F.when(extreme, from_union(n1, n2, F.col("union"))).otherwise(q)
     if joint_range_correction:
-        j = F.when(extreme, _corrected_udf(cfg)(*(F.col(c).cast("double") for c in ("n1", "n2", "d_plus", "d_minus", "d_equal", "both_zero")))).otherwise(j)
-    q = from_jaccard(F.col("n1"), F.col("n2"), j)
-    if incl_excl_fallback and "union" in compared.columns:
-        q = F.when(extreme, from_union(F.col("n1"), F.col("n2"), F.col("union"))).otherwise(q)
+        corrected = _corrected_udf(cfg)(*(F.col(c).cast("double") for c in ("n1", "n2", "d_plus", "d_minus", "d_equal", "both_zero")))
+        q = F.when(extreme & ~saturated, from_jaccard(n1, n2, corrected)).otherwise(q)
     return compared.select(*PAIR, "n1", "n2", q.alias("q"))
 
 
@@ -364,34 +372,34 @@ def hyperminhash_as_hll(cfg: HyperMinHash, sketches: DataFrame) -> DataFrame:
 
 # ---- all estimators of a family ------------------------------------------
 
+families.joint_estimators.register(Registers, lambda cfg: {"new": joint_new})
+families.joint_estimators.register(MinHash, lambda cfg: {"simpleDeprecated": minhash_simple_deprecated, "original": minhash_original, "new": minhash_new})
+families.joint_estimators.register(HyperMinHash, lambda cfg: {"original": hyperminhash_original_joint, "new": lambda c, df: joint_new(c.as_ghll(), df)})
+#: Labels that take no true cardinalities: it uses none, and these families have no such label.
+ESTIMATED_ONLY = {"simpleDeprecated"}
+
 
 def joint(cfg, sketches: DataFrame, key: str, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(k1, k2, estimator, q): every estimator of the family; ``known`` is (key, estimate) of true cardinalities."""
-    base = pairs(cfg, sketches, key, wanted)
-    if isinstance(cfg, MinHash):
-        own = cardinality.minhash(cfg, sketches, [key])
-        makers = {"inclExcl": None, "simpleDeprecated": minhash_simple_deprecated, "original": minhash_original, "new": minhash_new}
-        union = union_estimate(cfg, sketches, key, wanted, cardinality.minhash)
-    elif isinstance(cfg, HyperMinHash):
-        own = cardinality.hyperminhash_new(cfg, sketches, [key])
-        ghll = cfg.as_ghll()
-        fine = pairs(ghll, hyperminhash_as_ghll(cfg, sketches), key, wanted)
-        makers = {"original": hyperminhash_original_joint, "new": lambda _, df: joint_new(ghll, df), "inclExcl": None}
+    """(k1, k2, estimator, q): every estimator of the family; ``known`` is (key, estimate) of true cardinalities.
+
+    Sketches are built once and pairs are compared once, whatever the number of labels.
+    """
+    sketches, wanted = stored(sketches.select(key, "reg", "k"), "joint-sketches"), stored(wanted.select(*PAIR), "joint-pairs")
+    estimate, base, fine = cardinality.own(cfg), stored(pairs(cfg, sketches, key, wanted), "joint-compared"), {}
+    if isinstance(cfg, HyperMinHash):
+        # its likelihood counts how registers of the finer equivalent compare, its union is that of the coarser one
+        fine = {"new": stored(pairs(cfg.as_ghll(), hyperminhash_as_ghll(cfg, sketches), key, wanted), "joint-fine")}
         union = union_estimate(cfg.as_hll(), hyperminhash_as_hll(cfg, sketches), key, wanted, cardinality.simple)
     else:
-        own = cardinality.simple(cfg, sketches, [key])
-        makers = {"new": joint_new, "inclExcl": None}
-        union = union_estimate(cfg, sketches, key, wanted, cardinality.simple)
-    out = None
-    for suffix, cards in (("", own), ("KnownCard", known)):
-        if cards is None:
-            continue
+        union = union_estimate(cfg, sketches, key, wanted, estimate)
+    union, sizes = stored(union, "joint-unions"), stored(estimate(cfg, sketches, [key]), "joint-sizes")
+    makers = families.joint_estimators(cfg) | {"inclExcl": None}
+    found = []
+    for suffix, cards in (("", sizes), ("KnownCard", known)):
         for label, maker in makers.items():
-            if suffix and (label == "simpleDeprecated" or (isinstance(cfg, HyperMinHash) and label == "inclExcl")):
+            if cards is None or suffix and (label in ESTIMATED_ONLY or maker is None and isinstance(cfg, HyperMinHash)):
                 continue
-            source = fine if isinstance(cfg, HyperMinHash) and label == "new" else base
-            compared = with_cardinalities(source, cards, key)
-            found = joint_incl_excl(compared.join(union, PAIR)) if maker is None else maker(cfg, compared)
-            found = found.select(*PAIR, F.lit(label + suffix).alias("estimator"), "q")
-            out = found if out is None else out.unionByName(found)
-    return out
+            compared = with_cardinalities(fine.get(label, base), cards, key)
+            q = joint_incl_excl(compared.join(union, PAIR)) if maker is None else maker(cfg, compared)
+            found.append(q.select(*PAIR, F.lit(label + suffix).alias("estimator"), "q"))
+    return reduce(DataFrame.unionByName, found)

@@ -19,7 +19,7 @@ A fixed ``limit`` in the place of the lowest register is bulk insertion.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructType
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, Registers, SetSketch1, SetSketch2, SketchFamily
+from setforge.operators import families
 
 MAX_KEYS = 512
 #: Elements that are inserted together where there is one key.
@@ -183,13 +184,26 @@ class MinRegisters:
         return reg.astype(np.int32), self.k[reg]
 
 
+for _kind, _block in ((SetSketch1, SetSketch1Registers), (SetSketch2, SetSketch2Registers), (HyperLogLog, HllRegisters), (GeneralizedHyperLogLog, GhllRegisters), (HyperMinHash, HyperMinRegisters)):
+    families.kernel.register(_kind, lambda cfg, limit=None, make=_block: make(cfg, limit))
+families.kernel.register(MinHash, lambda cfg, limit=None: MinRegisters(cfg))
+
+
 def block(cfg: SketchFamily, limit: float | None = None) -> MaxRegisters | MinRegisters:
-    if isinstance(cfg, MinHash):
-        return MinRegisters(cfg)
-    for family, kernel in ((SetSketch1, SetSketch1Registers), (SetSketch2, SetSketch2Registers), (HyperLogLog, HllRegisters), (GeneralizedHyperLogLog, GhllRegisters), (HyperMinHash, HyperMinRegisters)):
-        if isinstance(cfg, family):
-            return kernel(cfg, limit)
-    raise ValueError(f"no kernel for {cfg.name}")
+    """A family's register block; a function of this module, so that workers that unpickle it know the families above."""
+    return families.kernel(cfg, limit)
+
+
+@families.by_kernel.register(Registers)
+@families.by_kernel.register(HyperMinHash)
+def _marked(cfg) -> bool:
+    return cfg.scheme == "marked"
+
+
+@families.by_kernel.register(SetSketch1)
+@families.by_kernel.register(MinHash)
+def _marked_or_wide(cfg) -> bool:
+    return cfg.scheme == "marked" or cfg.m >= 1024 and cfg.scheme == "xxhash64"
 
 
 def element_id(df: DataFrame, element: str) -> Column:
@@ -198,33 +212,24 @@ def element_id(df: DataFrame, element: str) -> Column:
     return F.xxhash64(F.col(element).cast("bigint" if whole else "string"))
 
 
-def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], limit: str | None = None) -> DataFrame:
-    """(keys..., reg, k) with a row for each key, register and task at most; ``limit`` names a column, constant by key, above which points are left out."""
-    block(cfg)
-    kept = [*keys, limit] if limit else keys
-    rows = df.where(F.col(element).isNotNull()).select(*kept, element_id(df, element).alias("__id"))
-    schema = StructType(list(rows.select(*kept).schema.fields)).add("reg", "integer").add("k", "long" if isinstance(cfg, MinHash) else "integer")
+def _held_blocks(cfg: SketchFamily, rows: DataFrame, kept: list[str], schema: StructType, limited: bool, sent) -> DataFrame:
+    """mapInArrow over (kept..., id): a register block a key, which ``sent(key, block, types)`` turns into a batch when it leaves.
+
+    At most ``MAX_KEYS`` blocks are held; one more key sends the one whose key came first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, MaxRegisters | MinRegisters] = {}
+        types: list[pa.DataType] = []
+        waiting: list[np.ndarray] = []
 
         def of(key: tuple) -> MaxRegisters | MinRegisters:
             if key not in held:
-                held[key] = block(cfg, key[-1] if limit else None)
+                held[key] = block(cfg, key[-1] if limited else None)
             return held[key]
 
-        def out(columns: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-            for key, registers in held.items():
-                reg, k = registers.rows()
-                if len(reg):
-                    named = [pa.array([v] * len(reg), t) for v, t in zip(key, columns)]
-                    yield pa.RecordBatch.from_arrays([*named, pa.array(reg), pa.array(k if isinstance(cfg, MinHash) else k.astype(np.int32))], names=[*kept, "reg", "k"])
-            held.clear()
-
-        columns: list[pa.DataType] = []
-        waiting: list[np.ndarray] = []
         for batch in batches:
-            columns = [c.type for c in batch.columns[:-1]]
+            types = [c.type for c in batch.columns[:-1]]
             ids = batch.column(len(kept)).to_numpy().view(np.uint64)
             if not kept:
                 waiting.append(ids)
@@ -232,17 +237,50 @@ def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list
                     of(()).add(np.concatenate(waiting))
                     waiting = []
                 continue
-            values = list(zip(*(c.to_pylist() for c in batch.columns[:-1])))
-            numbers: dict[tuple, int] = {}
-            own = np.fromiter((numbers.setdefault(v, len(numbers)) for v in values), np.int64, len(values))
+            # number the keys by their columns' dictionaries, so that only distinct keys become Python objects
+            own = np.zeros(batch.num_rows, np.int64)
+            for column in batch.columns[:-1]:
+                code = column.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+                own = np.unique(own * (int(code.max()) + 1) + code, return_inverse=True)[1]
             order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(len(numbers) + 1))
-            for key, i in numbers.items():
+            cuts = np.searchsorted(own[order], np.arange(int(own.max()) + 2))
+            firsts = batch.take(pa.array(order[cuts[:-1]]))
+            for i, key in enumerate(zip(*(c.to_pylist() for c in firsts.columns[:-1]))):
                 if key not in held and len(held) >= MAX_KEYS:
-                    yield from out(columns)
+                    first = next(iter(held))
+                    yield from sent(first, held.pop(first), types)
                 of(key).add(ids[order[cuts[i] : cuts[i + 1]]])
         if waiting:
             of(()).add(np.concatenate(waiting))
-        yield from out(columns)
+        for key, registers in held.items():
+            yield from sent(key, registers, types)
 
     return rows.mapInArrow(run, schema)
+
+
+def partial_registers(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], limit: str | None = None) -> DataFrame:
+    """(keys..., reg, k) with a row for each key, register and task at most; ``limit`` names a column, constant by key, above which points are left out."""
+    block(cfg)
+    kept = [*keys, limit] if limit else keys
+    rows = df.where(F.col(element).isNotNull()).select(*kept, element_id(df, element).alias("__id"))
+    schema = StructType(list(rows.select(*kept).schema.fields)).add("reg", "integer").add("k", "long" if isinstance(cfg, MinHash) else "integer")
+
+    def sent(key: tuple, registers: MaxRegisters | MinRegisters, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        reg, k = registers.rows()
+        if len(reg):
+            named = [pa.array([v] * len(reg), t) for v, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(reg), pa.array(k if isinstance(cfg, MinHash) else k.astype(np.int32))], names=[*kept, "reg", "k"])
+
+    return _held_blocks(cfg, rows, kept, schema, limit is not None, sent)
+
+
+def partial_states(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], packed: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(keys..., state) with a row for each key and task at most: the task's registers, as ``packed`` writes them."""
+    block(cfg)
+    rows = df.where(F.col(element).isNotNull()).select(*keys, element_id(df, element).alias("__id"))
+    schema = StructType(list(rows.select(*keys).schema.fields)).add("state", "binary")
+
+    def sent(key: tuple, registers: MaxRegisters | MinRegisters, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(key, types)), pa.array([packed(registers.k)], pa.binary())], names=[*keys, "state"])
+
+    return _held_blocks(cfg, rows, keys, schema, False, sent)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, Registers, SetSketch1, SetSketch2
 from setforge.functions.hashing import bits, unit
+from setforge.operators import families
 
 
 def register_value(x: Column, b: float, q: int) -> Column:
@@ -77,21 +78,38 @@ def setsketch2_points(cfg: SetSketch2, df: DataFrame, element: str, keys: list[s
     return rows.withColumn("x", -F.log1p(-share) / F.lit(float(cfg.a))).drop("stratum")
 
 
-def updates(cfg, df: DataFrame, element: str, keys: list[str], limit: Column | None = None) -> DataFrame:
-    """(keys..., reg, k) for every update; null elements give none.
-
-    Families that touch every register take each distinct element once.
-    """
-    rows = df.where(F.col(element).isNotNull()).select(*keys, element)
-    if isinstance(cfg, MinHash):
-        return _each_register(rows.distinct(), cfg.m).select(*keys, "reg", bits(cfg.scheme, F.col(element), F.col("reg"), 1, 15).alias("k"))
-    if isinstance(cfg, (SetSketch1, SetSketch2)):
-        rows = rows.distinct()
-        points = setsketch1_points(cfg, rows, element) if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, rows, element, keys)
-        return points.where(within(F.col("x"), limit)).select(*keys, "reg", register_value(F.col("x"), cfg.b, cfg.q).alias("k"))
-    find = hll_update if isinstance(cfg, HyperLogLog) else ghll_update if isinstance(cfg, GeneralizedHyperLogLog) else hyperminhash_update
-    reg, k = find(cfg, F.col(element))
-    return rows.select(*keys, reg.alias("reg"), k.alias("k"))
+def _rows(df: DataFrame, element: str, keys: list[str]) -> DataFrame:
+    return df.where(F.col(element).isNotNull()).select(*keys, element)
+
+
+@families.updates.register
+def _minhash_updates(cfg: MinHash, df: DataFrame, element: str, keys: list[str], limit: Column | None = None) -> DataFrame:
+    every = _each_register(_rows(df, element, keys).distinct(), cfg.m)
+    return every.select(*keys, "reg", bits(cfg.scheme, F.col(element), F.col("reg"), 1, 15).alias("k"))
+
+
+@families.updates.register(SetSketch1)
+@families.updates.register(SetSketch2)
+def _setsketch_updates(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[str], limit: Column | None = None) -> DataFrame:
+    """These families touch every register, so each distinct element is taken once."""
+    rows = _rows(df, element, keys).distinct()
+    points = setsketch1_points(cfg, rows, element) if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, rows, element, keys)
+    return points.where(within(F.col("x"), limit)).select(*keys, "reg", register_value(F.col("x"), cfg.b, cfg.q).alias("k"))
+
+
+def _one_update(find):
+    def found(cfg, df: DataFrame, element: str, keys: list[str], limit: Column | None = None) -> DataFrame:
+        reg, k = find(cfg, F.col(element))
+        return _rows(df, element, keys).select(*keys, reg.alias("reg"), k.alias("k"))
+
+    return found
+
+
+for _kind, _find in ((HyperLogLog, hll_update), (GeneralizedHyperLogLog, ghll_update), (HyperMinHash, hyperminhash_update)):
+    families.updates.register(_kind, _one_update(_find))
+updates = families.updates
+families.keeps.register(MinHash, lambda cfg: "min")
+families.empty.register(MinHash, lambda cfg: cfg.span)
 
 
 def hyperminhash_to_ghll(cfg: HyperMinHash, k: Column) -> Column:

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.config import MinHash, Registers, SetSketch1, SetSketch2, SketchFamily, same
-from setforge.operators.points import register_value, setsketch1_points, setsketch2_points, updates
-
-
-def _best(cfg: SketchFamily) -> Column:
-    return (F.min("k") if isinstance(cfg, MinHash) else F.max("k")).alias("k")
+from setforge.config import Registers, SetSketch1, SetSketch2, SketchFamily, same
+from setforge.operators import families, scan
+from setforge.operators.families import best
+from setforge.operators.keyed import join_on
+from setforge.operators.points import register_value, setsketch1_points, setsketch2_points, updates, within
+from setforge.sources.stored import stored
 
 
 def build(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], kernel: bool | None = None) -> DataFrame:
@@ -25,15 +25,15 @@ def build(cfg: SketchFamily, df: DataFrame, element: str, keys: list[str], kerne
     from setforge.operators import kernels
 
     if kernel is None:
-        kernel = cfg.scheme == "marked" or cfg.m >= 1024 and cfg.scheme == "xxhash64" and isinstance(cfg, (SetSketch1, MinHash))
+        kernel = families.by_kernel(cfg)
     if kernel:
-        return kernels.partial_registers(cfg, df, element, keys).groupBy(*keys, "reg").agg(_best(cfg))
-    return updates(cfg, df, element, keys).groupBy(*keys, "reg").agg(_best(cfg)).where("k > 0" if not isinstance(cfg, MinHash) else "true")
+        return kernels.partial_registers(cfg, df, element, keys).groupBy(*keys, "reg").agg(best(cfg))
+    return updates(cfg, df, element, keys).groupBy(*keys, "reg").agg(best(cfg)).where(F.col("k") != families.empty(cfg))
 
 
 def merge(cfg: SketchFamily, sketches: DataFrame, keys: list[str]) -> DataFrame:
     """Union of all sketches with the same keys."""
-    return sketches.groupBy(*keys, "reg").agg(_best(cfg))
+    return sketches.groupBy(*keys, "reg").agg(best(cfg))
 
 
 def merge_two(first_cfg: SketchFamily, first: DataFrame, second_cfg: SketchFamily, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,9 +42,32 @@ def merge_two(first_cfg: SketchFamily, first: DataFrame, second_cfg: SketchFamil
     return merge(first_cfg, first.unionByName(second), keys)
 
 
+def grouping_sets(cfg: SketchFamily, sketches: DataFrame, keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """(keys..., level, reg, k) for every grouping set, merged from the sketches by all ``keys``.
+
+    Elements are read once, for the finest grain.  ``level`` has a bit for each key,
+    the first key's highest, that is 1 where the set leaves the key out, which tells
+    such rows from those of a null key.
+    """
+    marks = [F.grouping(k).cast("int") * (1 << len(keys) - 1 - i) for i, k in enumerate(keys)]
+    level = sum(marks[1:], marks[0]).alias("level")
+    found = sketches.groupingSets([[*(F.col(k) for k in s), F.col("reg")] for s in sets], *keys, "reg").agg(level, best(cfg))
+    return found.select(*keys, "level", "reg", "k")
+
+
+def rollup(cfg: SketchFamily, sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Grouping sets of the first keys, from all to none."""
+    return grouping_sets(cfg, sketches, keys, [keys[:n] for n in range(len(keys), -1, -1)])
+
+
+def cube(cfg: SketchFamily, sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Grouping sets of every choice of keys."""
+    return grouping_sets(cfg, sketches, keys, [[k for i, k in enumerate(keys) if n >> i & 1] for n in range(1 << len(keys))])
+
+
 def dense(cfg: SketchFamily, sketches: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., registers array): m values, 0 (MinHash: the span) where nothing was added."""
-    empty = cfg.span if isinstance(cfg, MinHash) else 0
+    empty = families.empty(cfg)
     held = sketches.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("reg", "k"))).alias("held"))
     return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(cfg.m - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(empty))).alias("registers"))
 
@@ -67,16 +90,18 @@ def prefixes(cfg: Registers, df: DataFrame, element: str, keys: list[str], order
     """(keys..., prefix, reg, k): the sketch of the first prefix x ``every`` elements in order.
 
     Each chunk of ``every`` elements is sketched, then a running maximum by
-    register takes the place of a running sketch.
+    register takes the place of a running sketch.  Both the elements' numbers and
+    the maxima are scans over ranges, so no task holds a whole key.
     """
-    at = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("prefix", F.floor((F.row_number().over(at) - 1) / every).cast("long") + 1)
-    chunks = build(cfg, numbered, element, [*keys, "prefix"])
-    ends = numbered.select(*keys, "prefix").distinct()
-    everywhere = ends.join(chunks.select(*keys, "reg").distinct(), keys) if keys else ends.join(chunks.select("reg").distinct(), F.col("prefix") >= 0)
-    running = Window.partitionBy(*keys, "reg").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    filled = everywhere.join(chunks, [*keys, "prefix", "reg"], "left")
-    return filled.withColumn("k", F.max("k").over(running)).where("k IS NOT NULL").select(*keys, "prefix", "reg", "k")
+    rows = scan.numbered(df, keys, [order], "__row")
+    chunked = rows.withColumn("prefix", F.floor((F.col("__row") - 1) / every).cast("long") + 1).drop("__row")
+    chunks = build(cfg, chunked, element, [*keys, "prefix"])
+    ends = chunked.select(*keys, "prefix").distinct()
+    everywhere = ends.withColumn("reg", F.explode(F.sequence(F.lit(0), F.lit(cfg.m - 1))))
+    # a union and a grouped maximum instead of an outer join, which would lose null keys
+    filled = everywhere.withColumn("k", F.lit(None).cast(chunks.schema["k"].dataType)).unionByName(chunks).groupBy(*keys, "prefix", "reg").agg(F.max("k").alias("k"))
+    found = scan.running(filled, [*keys, "reg"], ["prefix"], "k", "max", "__k")
+    return found.where("__k IS NOT NULL").select(*keys, "prefix", "reg", F.col("__k").alias("k"))
 
 
 def compose(cfg: SketchFamily, powers: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -93,40 +118,56 @@ def first_limit(cfg: Registers, n: Column, success: float = 0.95) -> Column:
     return F.lit(-math.log1p(-(success ** (1 / cfg.m)))) / (F.lit(float(cfg.a)) * n)
 
 
+#: Relative standard error of the distinct counts that first limits come from.
+COUNT_ERROR = 0.05
+#: What each further attempt multiplies the limit by; the last one has no limit.
+GROWTH, ATTEMPTS = 4.0, 3
+
+
 def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[str], success: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Sketches (keys..., reg, k) from small points only, and (keys..., attempts).
 
-    Each attempt raises a key's limit by its first; a key is done when its smallest
-    register exceeds what any further point could give.  The loop runs once more
-    only for keys that are not done.  With the ``marked`` scheme only points up to
-    the limit are drawn.  Elements are counted with repeats, which makes the first
-    limit smaller than need be, never wrong.
+    One scan counts each key's distinct elements with a sketch of fixed size; two
+    standard errors below that count, the first limit suffices with probability
+    ``success`` however often elements repeat.  A key is done when its smallest
+    register exceeds what any further point could give.  The keys that are not go
+    through the input again, alone, with a larger limit, and the third time without
+    one; so there are ``ATTEMPTS`` scans at most besides the counting.  With the
+    ``marked`` scheme only points up to the limit are drawn.
     """
     from setforge.operators import kernels
 
     rows = df.where(F.col(element).isNotNull()).select(*keys, F.col(element).alias("__element"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.select(*keys, first_limit(cfg, F.col("n"), success).alias("step")).persist()
-    found, turn = [], 0
-    while not open_.isEmpty():
-        turn += 1
-        limited = (rows.join(open_, keys) if keys else rows.crossJoin(F.broadcast(open_))).withColumn("limit", F.col("step") * turn).drop("step")
+    sizes = rows.groupBy(*keys).agg(F.approx_count_distinct("__element", COUNT_ERROR).alias("n")).where("n > 0")
+    least = F.greatest(F.lit(1.0), F.floor(F.col("n") * (1 - 2 * COUNT_ERROR)).cast("double"))
+    open_ = stored(sizes.select(*keys, first_limit(cfg, least, success).alias("limit")), "bulk-limits")
+    done = open_.select(*keys, F.lit(0).alias("reg"), F.lit(0).alias("k")).limit(0)
+    tried = open_.select(*keys, F.lit(0).alias("attempts")).limit(0)
+    # points above 1 give a register 0, and so does a limit of b
+    for turn in range(1, ATTEMPTS + 1):
+        if turn == ATTEMPTS:
+            open_ = open_.withColumn("limit", F.lit(float(cfg.b)))
+        if keys:
+            limited = join_on(rows, open_, keys)
+        else:
+            limit = open_.first()
+            if limit is None:
+                break
+            limited = rows.withColumn("limit", F.lit(limit["limit"]))
         if cfg.scheme == "marked":
             small = kernels.partial_registers(cfg, limited, "__element", keys, limit="limit")
         else:
             limited = limited.distinct()
-            points = setsketch1_points(cfg, limited, "__element") if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, limited, "__element", keys)
-            small = points.where(F.col("x") <= F.col("limit")).withColumn("k", register_value(F.col("x"), cfg.b, cfg.q))
-        small = small.groupBy(*keys, "limit", "reg").agg(F.max("k").alias("k"))
+            points = setsketch1_points(cfg, limited, "__element") if isinstance(cfg, SetSketch1) else setsketch2_points(cfg, limited, "__element", [*keys, "limit"])
+            small = points.where(within(F.col("x"), F.col("limit"))).withColumn("k", register_value(F.col("x"), cfg.b, cfg.q))
+        small = stored(small.groupBy(*keys, "limit", "reg").agg(F.max("k").alias("k")), "bulk-registers")
         lowest = small.groupBy(*keys, "limit").agg(F.when(F.count(F.lit(1)) < cfg.m, 0).otherwise(F.min("k")).alias("lowest"))
-        ready = lowest.where(register_value(F.col("limit"), cfg.b, cfg.q) <= F.col("lowest")).withColumn("attempts", F.lit(turn)).drop("limit", "lowest").persist()
-        got = (small.join(ready, keys) if keys else small.crossJoin(F.broadcast(ready))).select(*keys, "reg", "k", "attempts").where("k > 0").persist()
-        got.count()
-        found.append((got, ready))
-        open_ = open_.join(ready, keys, "left_anti") if keys else open_.where(F.lit(ready.isEmpty()))
-    if not found:
-        return rows.select(*keys, F.lit(0).alias("reg"), F.lit(0).alias("k")).limit(0), sizes.withColumn("attempts", F.lit(0)).drop("n")
-    done, tried = found[0]
-    for got, ready in found[1:]:
-        done, tried = done.unionByName(got), tried.unionByName(ready)
-    return done.drop("attempts"), tried
+        enough = F.lit(True) if turn == ATTEMPTS else register_value(F.col("limit"), cfg.b, cfg.q) <= F.col("lowest")
+        ready = lowest.where(enough).select(*keys, F.lit(turn).alias("attempts"))
+        whole = join_on(small, ready, keys, "left_semi") if keys else small.where(F.lit(not ready.isEmpty()))
+        done, tried = done.unionByName(whole.where("k > 0").select(*keys, "reg", "k")), tried.unionByName(ready)
+        open_ = join_on(open_, ready, keys, "left_anti") if keys else open_.where(F.lit(ready.isEmpty()))
+        open_ = open_.withColumn("limit", F.col("limit") * GROWTH)
+        if turn == ATTEMPTS or open_.isEmpty():
+            break
+    return done, tried

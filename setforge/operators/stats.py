@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setforge.operators import scan
+
 
 def mse(x: Column, truth: Column) -> Column:
     return F.avg(F.pow(x - truth, F.lit(2)))
@@ -27,12 +29,10 @@ def chi_square(df: DataFrame, cell: str, cells: int, keys: list[str]) -> DataFra
 
 
 def ks_uniform(df: DataFrame, value: str, keys: list[str], cdf=lambda x: x) -> DataFrame:
-    """(keys..., n, d): largest distance between the empirical and the given distribution."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
+    """(keys..., n, d): largest distance between the empirical and the given distribution, by a scan over ranges of values."""
+    ranked = scan.numbered(df.select(*keys, value), keys, [value], "__i", "n")
     p = cdf(F.col(value))
-    gap = F.greatest(F.col("i") / F.col("n") - p, p - (F.col("i") - 1) / F.col("n"))
+    gap = F.greatest(F.col("__i") / F.col("n") - p, p - (F.col("__i") - 1) / F.col("n"))
     return ranked.groupBy(*keys, "n").agg(F.max(gap).alias("d"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,7 +245,7 @@ def compared_sql(cfg, cardinalities: str, source: str = PRIORITY_CUSTOMERS) -> s
     return f"""r AS ({regs}), est AS ({cardinalities}), ks AS (SELECT DISTINCT key FROM r),
 full_regs AS (SELECT ks.key, g.reg, coalesce(r.k, {empty}) AS k FROM ks CROSS JOIN range({cfg.m}) g(reg) LEFT JOIN r ON r.key = ks.key AND r.reg = g.reg),
 c AS (SELECT a.key AS k1, b.key AS k2, sum((a.k > b.k)::INT) AS d_plus, sum((a.k < b.k)::INT) AS d_minus, sum((a.k = b.k)::INT) AS d_equal,
- sum((a.k = b.k AND a.k <> {empty})::INT) AS matches, sum((a.k <> {empty} OR b.k <> {empty})::INT) AS filled
+ sum((a.k = b.k AND a.k = {getattr(cfg, "q", -2) + 1})::INT) AS both_top, sum((a.k = b.k AND a.k <> {empty})::INT) AS matches, sum((a.k <> {empty} OR b.k <> {empty})::INT) AS filled
  FROM full_regs a JOIN full_regs b ON a.reg = b.reg AND a.key < b.key GROUP BY a.key, b.key),
 p AS (SELECT c.*, e1.estimate AS n1, e2.estimate AS n2 FROM c JOIN est e1 ON e1.key = k1 JOIN est e2 ON e2.key = k2)"""
 
@@ -332,17 +333,14 @@ def bulk_equals_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_registers", registers_sql("SELECT event_type AS key, user_id AS x FROM events", GHLL2))
 def stream_registers(spark: SparkSession, sf: str) -> DataFrame:
     """A file stream read to its end, its running sketch kept in memory."""
-    import tempfile
-    import uuid
-
+    from setforge.sources.stored import new_folder
     from setforge.streaming.sketch_stream import to_memory
 
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf}/event[s].parquet")
     name = f"running_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="setforge-stream-")
-    to_memory(GHLL2, stream.select(F.col("event_type").alias("key"), F.col("user_id").alias("x")), "x", ["key"], name, f"{folder}/{name}").awaitTermination()
+    to_memory(GHLL2, stream.select(F.col("event_type").alias("key"), F.col("user_id").alias("x")), "x", ["key"], name, new_folder(spark, name)).awaitTermination()
     return spark.table(name)
 
 

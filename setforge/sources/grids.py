@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setforge.sources.stored import stored
+
 
 def cardinality_grid(largest: int, step: float) -> list[int]:
     """0 and cardinalities up to ``largest``, each about 1 + step times the one before."""
@@ -58,7 +60,7 @@ def example_streams(spark: SparkSession, examples: int, n: int, seed: int, schem
 
 def both_ways(df: DataFrame, one, two) -> tuple[DataFrame, DataFrame]:
     """The same elements into two plans, computed once."""
-    df = df.persist()
+    df = stored(df, "both-ways")
     return one(df), two(df)
 
 

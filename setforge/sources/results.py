@@ -75,3 +75,70 @@ def wide(cells: DataFrame, names: list[str]) -> DataFrame:
     """A column for each of ``names``."""
     picked = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
     return cells.groupBy("file", F.to_json("info").alias("info"), "row").agg(*picked)
+
+
+# ---- results by configuration -----------------------------------------------
+
+
+def write_partitioned(df: DataFrame, path: str, info: dict[str, str], format: str = "csv") -> None:
+    """Results of one configuration into a folder a parameter: path/name=.../m=.../part-*.
+
+    Other configurations under the same path stay.  In csv, doubles have 17 digits.
+    """
+    taken = {c.lower() for c in df.columns}
+    if clash := [k for k in info if k.lower() in taken]:
+        raise ValueError(f"parameters and columns share the names {clash}")
+    cells = df.select(*(scientific(F.col(c)).alias(c) if format == "csv" and t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    named = cells.select("*", *(F.lit(v).alias(k) for k, v in info.items()))
+    options = {"sep": ";", "header": "true"} if format == "csv" else {}
+    spark = df.sparkSession
+    # only the folder of this configuration is replaced
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options).partitionBy(*info).format(format).save(path)
+    spark.catalog.refreshByPath(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: str, parameters: list[str], format: str = "csv") -> DataFrame:
+    """Rows of ``schema`` with a text column a parameter; a filter on parameters reads the folders it names and no others."""
+    options = {"sep": ";", "header": "true"} if format == "csv" else {}
+    whole = ", ".join([schema, *(f"`{p}` string" for p in parameters)])
+    return spark.read.schema(whole).options(**options).format(format).load(path)
+
+
+#: The names of the twelve quantities in joint result files, by those of this library.
+JOINT_NAMES = {
+    "difference1": "Difference1", "difference2": "Difference2", "intersection": "Intersection", "cardinality1": "1", "cardinality2": "2", "union": "Union",
+    "jaccard": "Jaccard", "cosine": "Cosine", "inclusion1": "InclusionCoefficient1", "inclusion2": "InclusionCoefficient2", "alpha": "Alpha", "beta": "Beta",
+}
+
+
+def joint_columns(labels: list[str], bounds: bool = True) -> list[str]:
+    """Columns of a joint result file: 12 true values, 24 an estimator, and 4 of the bounds from equal registers."""
+    true = [f"true{n}" for n in JOINT_NAMES.values()]
+    own = [f"{label}{kind}{n}" for label in labels for kind in ("Mean", "MSE") for n in JOINT_NAMES.values()]
+    return true + own + ([f"coll{side}Bound{kind}Jaccard" for kind in ("Mean", "MSE") for side in ("Lower", "Upper")] if bounds else [])
+
+
+def joint_schema(found: DataFrame, truth: DataFrame, keys: list[str], labels: list[str], bounds: DataFrame | None = None) -> DataFrame:
+    """(keys..., the columns of ``joint_columns``), one row a pair: cells (keys..., column, value) pivoted by column.
+
+    ``found`` is (keys..., estimator, q) with a row an example, ``truth`` is
+    (keys..., q), ``bounds`` is (keys..., lower, upper) with a row an example.
+    """
+
+    def named(prefix: Column | str, kind: str, name: Column) -> Column:
+        return F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit(kind), name)
+
+    def spread(q: Column) -> Column:
+        return F.explode(F.array(*(F.struct(F.lit(n).alias("name"), q[c].alias("value")) for c, n in JOINT_NAMES.items())))
+
+    true = truth.select(*keys, spread(F.col("q")).alias("s")).select(*keys, "s.name", F.col("s.value").alias("true"))
+    own = found.select(*keys, "estimator", spread(F.col("q")).alias("s")).select(*keys, F.col("estimator").alias("prefix"), "s.*", F.lit("").alias("bound"))
+    if bounds is not None:
+        sides = F.explode(F.array(*(F.struct(F.lit(f"{c.capitalize()}Bound").alias("bound"), F.col(c).alias("value")) for c in ("lower", "upper"))))
+        ends = bounds.select(*keys, sides.alias("s")).select(*keys, F.lit("coll").alias("prefix"), F.lit("Jaccard").alias("name"), "s.value", "s.bound")
+        own = own.unionByName(ends)
+    off = F.col("value") - F.col("true")
+    errors = own.join(true, [*keys, "name"]).groupBy(*keys, "prefix", "bound", "name").agg(F.avg("value").alias("Mean"), F.avg(off * off).alias("MSE"))
+    kinds = F.explode(F.array(*(F.struct(named(F.concat("prefix", "bound"), k, F.col("name")).alias("column"), F.col(k).alias("value")) for k in ("Mean", "MSE"))))
+    cells = errors.select(*keys, kinds.alias("s")).select(*keys, "s.*").unionByName(true.select(*keys, named("true", "", F.col("name")).alias("column"), F.col("true").alias("value")))
+    return cells.groupBy(*keys).pivot("column", joint_columns(labels, bounds is not None)).agg(F.first("value"))

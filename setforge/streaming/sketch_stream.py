@@ -6,14 +6,18 @@ maximum by key and register; replays and late rows change nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from setforge.config import MinHash, SetSketch1, SetSketch2, SketchFamily
 from setforge.functions.hashing import bits
+from setforge.operators.families import best, empty
 from setforge.operators.points import register_value, setsketch1_points, updates
-from setforge.operators.sketches import build
+from setforge.operators.sketches import build, merge
+from setforge.sources.stored import delete
 
 
 def running(cfg: SketchFamily, stream: DataFrame, element: str, keys: list[str], window: str | None = None, time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -24,8 +28,8 @@ def running(cfg: SketchFamily, stream: DataFrame, element: str, keys: list[str],
         stream = stream.withWatermark(time, late).withColumn("window", F.window(time, window))
         keys = [*keys, "window"]
     distinct_free = _updates_without_distinct(cfg, stream, element, keys)
-    best = (F.min("k") if isinstance(cfg, MinHash) else F.max("k")).alias("k")
-    return distinct_free.groupBy(*keys, "reg").agg(best)
+    found = distinct_free.groupBy(*keys, "reg").agg(best(cfg))
+    return found.where(F.col("k") != empty(cfg))
 
 
 def _updates_without_distinct(cfg: SketchFamily, stream: DataFrame, element: str, keys: list[str]) -> DataFrame:
@@ -52,3 +56,28 @@ def running_batches(cfg: SketchFamily, stream: DataFrame, element: str, keys: li
         build(cfg, batch, element, keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def take_batch(cfg: SketchFamily, batch: DataFrame, number: int, element: str, keys: list[str], estimate: Callable[..., DataFrame], path: str) -> None:
+    """Merge a batch into the state that the batch before it left; state and estimates go to folders under the batch's number.
+
+    Nothing that is read is changed, so a batch that is taken again writes the same
+    once more; states older than the one before are deleted.
+    """
+    spark, state = batch.sparkSession, f"{path}/state"
+    sketch = build(cfg, batch, element, keys)
+    if number:
+        sketch = merge(cfg, spark.read.parquet(f"{state}/batch={number - 1}").unionByName(sketch), keys)
+    sketch.write.mode("overwrite").parquet(f"{state}/batch={number}")
+    estimate(cfg, spark.read.parquet(f"{state}/batch={number}"), keys).write.mode("overwrite").parquet(f"{path}/estimates/batch={number}")
+    if number > 1:
+        delete(spark, f"{state}/batch={number - 2}")
+
+
+def running_estimates(cfg: SketchFamily, stream: DataFrame, element: str, keys: list[str], estimate: Callable[..., DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """For any family: (batch, keys..., estimate) in ``path``/estimates after every micro-batch, over all elements so far."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        take_batch(cfg, batch, number, element, keys, estimate, path)
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
