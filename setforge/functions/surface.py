@@ -3,7 +3,6 @@
     register_points(spark, "ghll_points", cfg)
     SELECT key, reg, max(k) AS k FROM rows, LATERAL ghll_points(x) GROUP BY key, reg
 
-``points_array`` is the same as a scalar function, for ``LATERAL VIEW inline``.
 Registers equal those of ``sketches.build``.
 """
 
@@ -53,8 +52,7 @@ def points_sql(cfg, x: str = "x") -> str:
 
 
 def register_points(spark: SparkSession, name: str, cfg: Registers | MinHash | HyperMinHash) -> None:
-    """A table function ``name``(element) with columns reg and k, and a scalar ``name``_array(element)."""
+    """A table function ``name``(element) with columns reg and k."""
     if cfg.scheme == "marked":
         raise ValueError("the marked scheme draws points in Arrow kernels")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_array(x STRING) RETURNS ARRAY<STRUCT<reg: INT, k: BIGINT>> RETURN {points_sql(cfg)}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS TABLE(reg INT, k BIGINT) RETURN SELECT reg, k FROM inline({points_sql(cfg)})")
