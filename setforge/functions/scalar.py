@@ -133,10 +133,14 @@ def rmse_against_minhash(b: Column | float, u: Column, jaccard: Column) -> Colum
 
 
 def upper_bound_mse(b: float, m: int, jaccard: Column) -> Column:
-    """Mean squared error of the upper Jaccard bound when equal registers are binomial, in closed form."""
-    p = collision_upper(b, jaccard)
-    step = lambda e: F.pow(1 + p * (F.lit(b) ** (F.lit(float(e)) / m) - 1), F.lit(float(m)))
-    return (step(2) - 2 * step(1) + 1) / (b - 1) ** 2 - 2 * jaccard * (step(1) - 1) / (b - 1) + jaccard * jaccard
+    """Mean squared error of the upper Jaccard bound when equal registers are binomial, in closed form.
+
+    Variance and bias each have a form without cancellation, so bases near 1 keep their digits.
+    """
+    p, step = collision_upper(b, jaccard), math.expm1(math.log(b) / m)
+    mean = F.expm1(F.log1p(p * step) * m)  # of b^(share of equal registers), less 1
+    variance = F.pow(mean + 1, F.lit(2)) * F.expm1(F.log1p(p * (1 - p) * F.pow(step / (1 + p * step), F.lit(2))) * m) / (b - 1) ** 2
+    return variance + F.pow(mean / (b - 1) - jaccard, F.lit(2))
 
 
 def ghll_cdf(b: Column | float, k: Column) -> Column:

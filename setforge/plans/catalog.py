@@ -476,5 +476,3 @@ def _ks(spark: SparkSession, sf: str) -> DataFrame:
     return stats.ks_uniform(drawn, "u", ["all"]).select("n", F.round("d", 9).alias("d"))
 
 
-query("joint_accuracy")(lambda s, d: experiments.joint_accuracy(s, SetSketch1(64), [(500, 300, 200), (100, 100, 800)], 5))
-query("bulk_attempts")(lambda s, d: experiments.bulk_series(s, SET1, [100, 1000], 10))
