@@ -382,20 +382,19 @@ ESTIMATED_ONLY = {"simpleDeprecated"}
 def joint(cfg, sketches: DataFrame, key: str, wanted: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(k1, k2, estimator, q): every estimator of the family; ``known`` is (key, estimate) of true cardinalities.
 
-    Sketches are built once and pairs are compared once, whatever the number of labels.
+    Sketches are built once, whatever the number of labels.
     """
-    sketches, wanted = stored(sketches.select(key, "reg", "k"), "joint-sketches"), stored(wanted.select(*PAIR), "joint-pairs")
-    estimate, base, fine = cardinality.own(cfg), stored(pairs(cfg, sketches, key, wanted), "joint-compared"), {}
+    sketches = stored(sketches.select(key, "reg", "k"), "joint-sketches")
+    estimate, base, fine = cardinality.own(cfg), pairs(cfg, sketches, key, wanted), {}
     if isinstance(cfg, HyperMinHash):
         # its likelihood counts how registers of the finer equivalent compare, its union is that of the coarser one
-        fine = {"new": stored(pairs(cfg.as_ghll(), hyperminhash_as_ghll(cfg, sketches), key, wanted), "joint-fine")}
+        fine = {"new": pairs(cfg.as_ghll(), hyperminhash_as_ghll(cfg, sketches), key, wanted)}
         union = union_estimate(cfg.as_hll(), hyperminhash_as_hll(cfg, sketches), key, wanted, cardinality.simple)
     else:
         union = union_estimate(cfg, sketches, key, wanted, estimate)
-    union, sizes = stored(union, "joint-unions"), stored(estimate(cfg, sketches, [key]), "joint-sizes")
     makers = families.joint_estimators(cfg) | {"inclExcl": None}
     found = []
-    for suffix, cards in (("", sizes), ("KnownCard", known)):
+    for suffix, cards in (("", estimate(cfg, sketches, [key])), ("KnownCard", known)):
         for label, maker in makers.items():
             if cards is None or suffix and (label in ESTIMATED_ONLY or maker is None and isinstance(cfg, HyperMinHash)):
                 continue

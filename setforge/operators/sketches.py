@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setforge.config import Registers, SetSketch1, SetSketch2, SketchFamily, same
+from setforge.config import HyperLogLog, Registers, SetSketch1, SetSketch2, SketchFamily, same
 from setforge.operators import families, scan
 from setforge.operators.families import best
 from setforge.operators.keyed import join_on
@@ -118,8 +118,9 @@ def first_limit(cfg: Registers, n: Column, success: float = 0.95) -> Column:
     return F.lit(-math.log1p(-(success ** (1 / cfg.m)))) / (F.lit(float(cfg.a)) * n)
 
 
-#: Relative standard error of the distinct counts that first limits come from.
-COUNT_ERROR = 0.05
+#: The sketch that counts elements for first limits, and its relative standard error.
+COUNTING = HyperLogLog(256, 2.0, 52)
+COUNT_ERROR = 1.04 / COUNTING.m**0.5
 #: What each further attempt multiplies the limit by; the last one has no limit.
 GROWTH, ATTEMPTS = 4.0, 3
 
@@ -135,12 +136,17 @@ def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[s
     one; so there are ``ATTEMPTS`` scans at most besides the counting.  With the
     ``marked`` scheme only points up to the limit are drawn.
     """
-    from setforge.operators import kernels
+    from setforge.operators import cardinality, kernels
 
     rows = df.where(F.col(element).isNotNull()).select(*keys, F.col(element).alias("__element"))
-    sizes = rows.groupBy(*keys).agg(F.approx_count_distinct("__element", COUNT_ERROR).alias("n")).where("n > 0")
-    least = F.greatest(F.lit(1.0), F.floor(F.col("n") * (1 - 2 * COUNT_ERROR)).cast("double"))
-    open_ = stored(sizes.select(*keys, first_limit(cfg, least, success).alias("limit")), "bulk-limits")
+    sizes = cardinality.simple(COUNTING, build(COUNTING, rows, "__element", keys, kernel=False), keys).where("estimate > 0")
+    least = F.greatest(F.lit(1.0), F.floor(F.col("estimate") * (1 - 2 * COUNT_ERROR)))
+    open_ = sizes.select(*keys, first_limit(cfg, least, success).alias("limit"))
+    if keys:
+        open_ = stored(open_, "bulk-limits")
+    else:  # one row
+        first = open_.first()
+        limit = first["limit"] if first else None
     done = open_.select(*keys, F.lit(0).alias("reg"), F.lit(0).alias("k")).limit(0)
     tried = open_.select(*keys, F.lit(0).alias("attempts")).limit(0)
     # points above 1 give a register 0, and so does a limit of b
@@ -149,11 +155,10 @@ def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[s
             open_ = open_.withColumn("limit", F.lit(float(cfg.b)))
         if keys:
             limited = join_on(rows, open_, keys)
+        elif limit is None:
+            break
         else:
-            limit = open_.first()
-            if limit is None:
-                break
-            limited = rows.withColumn("limit", F.lit(limit["limit"]))
+            limited = rows.withColumn("limit", F.lit(float(cfg.b) if turn == ATTEMPTS else limit))
         if cfg.scheme == "marked":
             small = kernels.partial_registers(cfg, limited, "__element", keys, limit="limit")
         else:
@@ -164,10 +169,14 @@ def bulk(cfg: SetSketch1 | SetSketch2, df: DataFrame, element: str, keys: list[s
         lowest = small.groupBy(*keys, "limit").agg(F.when(F.count(F.lit(1)) < cfg.m, 0).otherwise(F.min("k")).alias("lowest"))
         enough = F.lit(True) if turn == ATTEMPTS else register_value(F.col("limit"), cfg.b, cfg.q) <= F.col("lowest")
         ready = lowest.where(enough).select(*keys, F.lit(turn).alias("attempts"))
-        whole = join_on(small, ready, keys, "left_semi") if keys else small.where(F.lit(not ready.isEmpty()))
+        if not keys:
+            if not ready.isEmpty():
+                return small.where("k > 0").select("reg", "k"), ready
+            limit *= GROWTH
+            continue
+        whole = join_on(small, ready, keys, "left_semi")
         done, tried = done.unionByName(whole.where("k > 0").select(*keys, "reg", "k")), tried.unionByName(ready)
-        open_ = join_on(open_, ready, keys, "left_anti") if keys else open_.where(F.lit(ready.isEmpty()))
-        open_ = open_.withColumn("limit", F.col("limit") * GROWTH)
+        open_ = join_on(open_, ready, keys, "left_anti").withColumn("limit", F.col("limit") * GROWTH)
         if turn == ATTEMPTS or open_.isEmpty():
             break
     return done, tried
