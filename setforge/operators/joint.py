@@ -163,6 +163,38 @@ def jaccard_ml(b: float, n1: Column, n2: Column, d_plus: Column, d_minus: Column
     return F.when((n1 > 0) & (n2 > 0), golden_section(likelihood, F.lit(0.0), most)).otherwise(0.0)
 
 
+def jaccards_ml(b: float, n1, n2, d_plus, d_minus, d_equal, steps: int = 60) -> np.ndarray:
+    """``jaccard_ml`` for many pairs at once: the same golden-section steps on arrays."""
+    n1, n2, plus, minus, equal = (np.asarray(v, float) for v in (n1, n2, d_plus, d_minus, d_equal))
+    live = (n1 > 0) & (n2 > 0)
+    u = np.where(live, n1, 1.0) / np.where(live, n1 + n2, 2.0)
+    v, log_b, share = 1 - u, math.log(b), (b - 1) / b
+
+    def times_log(count: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.where(count == 0, 0.0, count * np.log(np.maximum(x, 1e-300)))
+
+    def likelihood(j: np.ndarray) -> np.ndarray:
+        p, q = (-np.log1p(-np.maximum(0.0, own - other * j) * share) / log_b for own, other in ((u, v), (v, u)))
+        return times_log(plus, p) + times_log(minus, q) + times_log(equal, 1 - p - q)
+
+    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
+    for _ in range(steps):
+        x1, x2 = hi - (hi - lo) * GOLDEN, lo + (hi - lo) * GOLDEN
+        left = likelihood(x1) >= likelihood(x2)
+        lo, hi = np.where(left, lo, x1), np.where(left, x2, hi)
+    return np.where(live, (lo + hi) / 2, 0.0)
+
+
+def jaccard_ml_udf(b: float):
+    """``jaccards_ml`` as a function of columns, for many pairs; ``jaccard_ml`` needs no Python, for few."""
+
+    def solve(n1: pd.Series, n2: pd.Series, p: pd.Series, q: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series(jaccards_ml(b, n1, n2, p, q, e))
+
+    solve.__annotations__ = {**{c: pd.Series for c in ("n1", "n2", "p", "q", "e")}, "return": pd.Series}
+    return F.pandas_udf(solve, "double")
+
+
 def mu(b: float, x: np.ndarray, y: np.ndarray, first: int | None = None, last: int | None = None) -> np.ndarray:
     """Sum over all integers k (or those from ``first`` to ``last``) of exp(-x b^-k) - exp(-y b^-k)."""
     x, y = np.broadcast_arrays(np.asarray(x, float), np.asarray(y, float))

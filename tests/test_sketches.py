@@ -233,6 +233,7 @@ def test_likelihood_search_finds_the_grid_maximum(spark):
     cases = [(float(rng.integers(50, 500)), float(rng.integers(50, 500)), *map(int, rng.multinomial(256, [0.3, 0.3, 0.4]))) for _ in range(12)]
     df = spark.createDataFrame(cases, "n1 double, n2 double, p long, q long, e long")
     got = [r[0] for r in df.select(joint.jaccard_ml(2.0, *(F.col(c) for c in ("n1", "n2", "p", "q", "e")))).collect()]
+    assert joint.jaccards_ml(2.0, *zip(*cases)) == pytest.approx(got, abs=1e-6)
     for (n1, n2, p, q, e), j in zip(cases, got):
         u, v = n1 / (n1 + n2), n2 / (n1 + n2)
         grid = np.linspace(0, min(u / v, v / u) * (1 - 1e-9), 20001)
