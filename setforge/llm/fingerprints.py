@@ -16,7 +16,8 @@ Defined cases: null text is empty text, whose phrase set is empty and whose
 fingerprint equals only that of another empty text; equal texts have equal
 fingerprints; rows of equal id follow each other in the order of their texts;
 a single row is its own successor; an empty table gives an empty result; texts
-are parsed whole, in linear time.
+are parsed whole, in linear time; other columns are neither read nor returned, so
+their names cannot clash.
 """
 
 from __future__ import annotations

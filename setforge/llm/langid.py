@@ -17,7 +17,9 @@ Defined cases: null text, empty text and text without a letter give ``und`` with
 score 0; rows with a null language or null text teach nothing; with nothing to
 learn from, every row is ``und``; ties go to the first language in code point
 order; a run of letters of any length is one word, summed over all its
-segmentations in time linear in its length; equal texts get equal results.
+segmentations in time linear in its length; equal texts get equal results; an
+empty table gives an empty result; other columns are neither read nor returned,
+so their names cannot clash.
 """
 
 from __future__ import annotations

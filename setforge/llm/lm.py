@@ -25,7 +25,8 @@ are summed block by block in the cluster.
 
 Defined cases: null text is empty text, that is one end token; equal rows get
 equal scores; without training rows every token is unseen; an empty table gives
-an empty result; texts are scored whole.
+an empty result; texts are scored whole; other columns are neither read nor
+returned, so their names cannot clash (``training`` may read any).
 """
 
 from __future__ import annotations

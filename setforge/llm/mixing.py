@@ -17,7 +17,9 @@ of all rows is as many buckets.
 Defined cases: null text has size 0 and is taken 0 times; the null source is a
 source of its own, last in order; equal rows are rounded separately; sources
 without words have target 0; an empty table gives an empty result; the result
-depends on the rows alone, not on their partitioning.
+depends on the rows alone, not on their partitioning; a text of any length counts
+only by its number of words; ``mix`` neither reads nor returns other columns, and
+``repeat`` returns all columns of its input under their names.
 """
 
 from __future__ import annotations

@@ -29,6 +29,7 @@ nothing; with fewer words than a shingle has, the whole sequence is the only
 shingle; rows with equal ids are one node of the graph; an empty table gives an
 empty result.  A null id counts as larger than any: such a row belongs to the
 component of an equal set with an id, else it stands alone (component null, kept).
+Other columns are neither read nor returned, so their names cannot clash.
 """
 
 from __future__ import annotations

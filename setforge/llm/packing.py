@@ -14,7 +14,8 @@ them, so lost executors are repaired from it or by running the task again.
 
 Defined cases: null text is empty text (only its end token); equal rows, equal
 ids included, are packed each on its own; an empty table gives an empty result;
-a document longer than a sequence is spread over several.
+a document longer than a sequence is spread over several; other columns are
+neither read nor returned, so their names cannot clash.
 """
 
 from __future__ import annotations

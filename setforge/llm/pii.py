@@ -14,7 +14,9 @@ Scale: a single pass of Arrow batches without any shuffle.
 
 Defined cases: null text is empty text and has no spans; equal rows give equal
 spans; an empty table gives an empty result; positions are code points, ends
-exclusive; long texts are read whole, in time linear in their length.
+exclusive; long texts are read whole, in time linear in their length; spans come
+with the id alone, so names of other columns cannot clash, and ``redact`` returns
+all columns of its input under their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ the driver collects.
 Defined cases: null text is empty text; ratios with nothing to divide by are 0;
 labels that are null are ignored, and of repeated labels the largest counts;
 without labels of both kinds the score is the smoothed share of label 1 for every
-row (0.5 without labels); an empty table gives an empty result.
+row (0.5 without labels); an empty table gives an empty result; repeated rows of
+documents are scored each on its own, and each counts in the fit if labelled; long
+texts are measured whole; other columns are neither read nor returned, so their
+names cannot clash.
 """
 
 from __future__ import annotations

@@ -36,7 +36,8 @@ The driver holds ``SAMPLES`` prefixes a bucket.
 Defined cases: null text is empty; texts shorter than ``LENGTH`` keep all;
 documents of equal id never remove from each other; ids are whole numbers, and a
 null id counts as larger than any other; repeated rows are judged each on its
-own; an empty table gives an empty result.
+own; an empty table gives an empty result; other columns are neither read nor
+returned, so their names cannot clash.
 """
 
 from __future__ import annotations
