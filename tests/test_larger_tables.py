@@ -1,12 +1,13 @@
 """What only larger tables bring about: saturated sketches, many keys, many pairs."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from setforge.config import GeneralizedHyperLogLog
-from setforge.operators import joint
+from setforge.config import GeneralizedHyperLogLog, MinHash, SetSketch1, SetSketch2
+from setforge.operators import digests, joint, points, sketches
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -42,3 +43,44 @@ def test_fallback_with_infinite_estimates(saturated):
     assert found["a"]["jaccard"] == found["b"]["jaccard"] == 0
     assert (found["a"]["cardinality1"], found["a"]["cardinality2"], found["a"]["intersection"]) == (math.inf, 900, 0)
     assert found["d"]["jaccard"] == pytest.approx(30 / 110)
+
+
+# ---- many updates an element ---------------------------------------------------
+
+MANY = [SetSketch1(16, scheme="md5"), SetSketch2(16, scheme="md5"), MinHash(16, scheme="md5")]
+
+
+def test_digests_on_arrays():
+    texts = [b"", b"7", b"31415926", b"x" * 50, b"y" * 52, b"z" * 53, b"q" * 90, "\u00e9~1".encode()]
+    found = digests.digests(texts, 130)
+    for i, text in enumerate(texts):
+        for reg in (0, 9, 10, 99, 100, 129):
+            assert "".join(f"{int(w[i, reg]):08x}" for w in found) == hashlib.md5(text + b"|%d" % reg).hexdigest()
+
+
+@pytest.mark.parametrize("cfg", MANY, ids=lambda c: type(c).__name__)
+def test_updates_of_many_keys_are_few(spark, cfg):
+    """Of 300 keys with 40 elements each, tasks send about a row a key and register, however the elements lie."""
+    df = spark.range(12000).repartition(8).select((F.col("id") % 300).alias("key"), F.col("id").alias("x"))
+    sent = points.updates(cfg, df, "x", ["key"]).count()
+    assert sent <= (300 + 2 * 8) * cfg.m
+    assert sketches.build(cfg, df, "x", ["key"]).groupBy("key").count().count() == 300
+
+
+@pytest.mark.parametrize("scheme", ["md5", "xxhash64"])
+def test_strata_are_dealt_inside_a_row(spark, scheme):
+    """The order of an element's registers needs no window, so the rows of all registers are never shuffled."""
+    plan = sketches.build(SetSketch2(16, scheme=scheme), spark.range(10).withColumn("key", F.lit(1)), "id", ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_bulk_by_digests_with_null_keys_and_long_texts(spark):
+    """Bulk and streaming insertion agree for keys of several columns, null ones and elements of more than one block."""
+    cfg = SetSketch2(16, scheme="md5")
+    x = F.concat(F.when(F.col("id") % 7 == 0, F.repeat(F.lit("long"), 20)).otherwise(F.lit("")), F.col("id").cast("string"))
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("a"), (F.col("id") % 2 == 0).alias("b"), x.alias("x"))
+    df = df.unionByName(df)
+    bulk, attempts = sketches.bulk(cfg, df, "x", ["a", "b"])
+    stream = sketches.build(cfg, df, "x", ["a", "b"])
+    assert sorted(map(repr, bulk.collect())) == sorted(map(repr, stream.collect()))
+    assert attempts.count() == 6
