@@ -6,8 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from setforge.config import GeneralizedHyperLogLog, MinHash, SetSketch1, SetSketch2
-from setforge.operators import digests, joint, points, sketches
+from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
+from setforge.operators import digests, joint, kernels, points, sketches
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -84,3 +84,32 @@ def test_bulk_by_digests_with_null_keys_and_long_texts(spark):
     stream = sketches.build(cfg, df, "x", ["a", "b"])
     assert sorted(map(repr, bulk.collect())) == sorted(map(repr, stream.collect()))
     assert attempts.count() == 6
+
+
+# ---- few rows a key ---------------------------------------------------------------
+
+
+def test_composed_sketches_are_not_shuffled(spark):
+    """The registers of n elements come from one row of ``wanted``; null is no number."""
+    cfg = MinHash(16)
+    powers = sketches.build(cfg, spark.range(1, 64).select(F.floor(F.log2("id")).cast("int").alias("e"), F.col("id")), "id", ["e"])
+    wanted = spark.createDataFrame([(5,), (40,), (0,), (None,)], "n bigint")
+    found = sketches.compose(cfg, powers, wanted)
+    rows = {n: sorted((r["reg"], r["k"]) for r in found.where(F.col("n") == n).collect()) for n in (0, 5, 40)}
+    parts = lambda *es: sorted(map(tuple, powers.where(F.col("e").isin(*es)).groupBy("reg").agg(F.min("k")).collect()))
+    assert rows == {0: [], 5: parts(0, 2), 40: parts(3, 5)}
+    # the numbers are told apart, and nothing is joined or grouped by register
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("cfg", [HyperLogLog(64, 2.0, 58, scheme="marked"), GeneralizedHyperLogLog(200, 1.2, 254, scheme="marked"), HyperMinHash(6, 6, 10, scheme="marked")], ids=["hll", "ghll", "hyperminhash"])
+def test_many_keys_hold_no_blocks(spark, cfg, monkeypatch):
+    """A batch with few rows a key takes points without blocks; the registers are the same."""
+    df = spark.range(6000).select(F.when(F.col("id") % 1500 > 0, F.col("id") % 1500).alias("key"), F.col("id").alias("x")).coalesce(1)
+    rows = lambda: sorted(map(repr, sketches.build(cfg, df, "x", ["key"]).collect()))
+    loose = rows()
+    sent = kernels.partial_registers(cfg, df, "x", ["key"])
+    assert sent.count() == 6000  # an element a row, and none twice
+    monkeypatch.setattr(kernels, "ROWS_A_KEY", 0)
+    assert rows() == loose
