@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
-from setforge.operators import digests, joint, kernels, points, sketches
+from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -113,3 +113,23 @@ def test_many_keys_hold_no_blocks(spark, cfg, monkeypatch):
     assert sent.count() == 6000  # an element a row, and none twice
     monkeypatch.setattr(kernels, "ROWS_A_KEY", 0)
     assert rows() == loose
+
+
+# ---- many similar pairs --------------------------------------------------------------
+
+
+def test_pairs_meet_once_and_whole(spark):
+    """Pairs of sets that share bands come once each, whatever the cells, and with the counts of a plain comparison."""
+    cfg = SetSketch1(16, 1.2, 254, 2.0)
+    rows = [(key, x) for key in range(40) for x in range(60) if (x * 7 + key * x) % 11 > 2]
+    regs = sketches.build(cfg, spark.createDataFrame(rows, "key int, x int"), "x", ["key"]).cache()
+    keys, states = similarity.band_keys(cfg, regs, "key", 2), packed.pack(cfg, regs, ["key"])
+    want = {(r["k1"], r["k2"]) for r in similarity.candidates(keys, "key").collect()}
+    for block in (7, 2000):
+        found = similarity.met(cfg, states, keys, "key", 2, 0.0, block).collect()
+        assert len(found) == len(want) and {(r["k1"], r["k2"]) for r in found} == want
+    compared = packed.pairs_packed(cfg, states, "key", spark.createDataFrame(list(want), "k1 int, k2 int"))
+    plain = {(r["k1"], r["k2"]): (r["d_plus"], r["d_minus"], r["d_equal"]) for r in compared.collect()}
+    assert {(r["k1"], r["k2"]): (r["d_plus"], r["d_minus"], r["d_equal"]) for r in found} == plain
+    ml = {(r["k1"], r["k2"]): r["j"] for r in compared.select("k1", "k2", joint.jaccard_ml(cfg.b, *(F.col(c) for c in ("n1", "n2", "d_plus", "d_minus", "d_equal"))).alias("j")).collect()}
+    assert all(r["jaccard"] == pytest.approx(ml[r["k1"], r["k2"]], abs=1e-6) for r in found)
