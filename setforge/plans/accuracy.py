@@ -14,6 +14,7 @@ from setforge.plans import experiments
 from setforge.plans.catalog import GHLL2, SEGMENT_ORDERS, SET1, SUPPLIER_PARTS, priority_customers, query, registers_sql, segment_orders, simple_sql, supplier_parts, table
 from setforge.plans.more import ml_sql
 from setforge.sources import grids
+from setforge.sources.stored import stored
 
 # ---- a grid of sizes ------------------------------------------------------------
 
@@ -37,9 +38,10 @@ def accuracy_on_grid(cfg, elements: DataFrame, examples: str, element: str, orde
     """(cardinality, estimator, examples, bias, rmse, expected): each example's distinct elements in order of their first row, estimated at every size of the grid it reaches."""
     first = elements.groupBy(F.col(examples).alias("example"), F.col(element).alias("element")).agg(F.min(order).alias("at"))
     streams = scan.numbered(first, ["example"], ["at", "element"], "number", "most").withColumn("i", F.col("number") - 1)
-    registers = experiments.running_registers(cfg, streams, GRID)
-    reached = streams.select("example", "most").distinct()
-    found = cardinality.estimates(cfg, registers, ["example", "cardinality"]).join(reached, "example").where("cardinality <= most")
+    streams = stored(streams, "grid-streams")
+    # only the sizes that an example reaches, and once for all estimators
+    registers = stored(experiments.running_registers(cfg, streams, GRID, streams.select("example", "most").distinct()), "grid-registers")
+    found = cardinality.estimates(cfg, registers, ["example", "cardinality"])
     n = F.col("cardinality")
     grouped = found.groupBy("cardinality", "estimator").agg(F.count(F.lit(1)).alias("examples"), stats.mean(F.col("estimate")).alias("mean"), stats.mse(F.col("estimate"), n).alias("mse"))
     return grouped.select("cardinality", "estimator", "examples", scalar.relative_error(F.col("mean"), n).alias("bias"), (F.sqrt("mse") / n).alias("rmse"), scalar.expected_rsd(cfg.b, cfg.m).alias("expected"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
 from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches
+from setforge.plans import experiments
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -133,3 +134,14 @@ def test_pairs_meet_once_and_whole(spark):
     assert {(r["k1"], r["k2"]): (r["d_plus"], r["d_minus"], r["d_equal"]) for r in found} == plain
     ml = {(r["k1"], r["k2"]): r["j"] for r in compared.select("k1", "k2", joint.jaccard_ml(cfg.b, *(F.col(c) for c in ("n1", "n2", "d_plus", "d_minus", "d_equal"))).alias("j")).collect()}
     assert all(r["jaccard"] == pytest.approx(ml[r["k1"], r["k2"]], abs=1e-6) for r in found)
+
+
+def test_running_registers_end_where_streams_do(spark):
+    """Prefixes that a stream does not reach have no rows; the others are what they were."""
+    cfg, grid = GeneralizedHyperLogLog(16, scheme="md5"), [1, 5, 20, 100]
+    streams = spark.range(30).select((F.col("id") % 2).alias("example"), F.floor(F.col("id") / 2).alias("i"), F.col("id").alias("element")).where("example = 0 OR i < 6")
+    most = streams.groupBy("example").agg(F.count(F.lit(1)).alias("most"))
+    rows = lambda df: sorted(map(tuple, df.select("example", "cardinality", "reg", "k").collect()))
+    cut = rows(experiments.running_registers(cfg, streams, grid, most))
+    assert {r[:2] for r in cut} == {(0, 1), (0, 5), (1, 1), (1, 5)}
+    assert cut == rows(experiments.running_registers(cfg, streams, grid).join(most, "example").where("cardinality <= most"))
