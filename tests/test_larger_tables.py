@@ -3,11 +3,13 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
-from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches
+from setforge.functions import random
+from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches, stats
 from setforge.plans import experiments, states
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
@@ -158,3 +160,38 @@ def test_round_trip_joins_nothing(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     want = sketches.build(cfg, rows, "x", ["key"]).select("key", "reg", F.col("k").cast("bigint"), F.lit(packed.size(cfg)))
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+# ---- draws of many elements ---------------------------------------------------------------
+
+
+def hashed(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+
+
+def test_draws_cost_one_hash_an_element(spark):
+    """All generators draw from one hash a step, as they do from hashes of their own."""
+    rows = spark.range(20)
+    drawn = experiments.samples(rows, "id", "md5", 2)
+    assert hashed(drawn) == 1
+    for name in ("uniform_int_16", "uniform_int_7", "truncated_exponential_0.5", "one_bit"):
+        own = rows.select(random.GENERATORS[name][0]("md5", F.col("id"), F.lit(1)).cast("double"))
+        assert sorted(map(tuple, drawn.where((F.col("generator") == name) & (F.col("step") == 1)).select("value").collect())) == sorted(map(tuple, own.collect()))
+
+
+@pytest.mark.parametrize("cells", [4, 1 << 16])
+@pytest.mark.parametrize("sent", [0, 1 << 15])
+def test_distance_from_rows_of_few_cells(spark, monkeypatch, cells, sent):
+    """The distance is that of numbering all rows, of which only those of cells that may hold it are numbered."""
+    monkeypatch.setattr(stats, "CELLS", cells)
+    monkeypatch.setattr(stats, "SENT", sent)
+    numbered, scanned = [], stats.scan.numbered
+    monkeypatch.setattr(stats.scan, "numbered", lambda df, *rest: numbered.append(df.count()) or scanned(df, *rest))
+    rng = np.random.default_rng(5)
+    groups = {None: rng.random(3000), "ties": np.round(rng.random(500), 1), "low": rng.random(400) ** 2, "one": np.array([0.3])}
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values], "g string, v double")
+    found = {r["g"]: (r["n"], r["d"]) for r in stats.ks_uniform(df, "v", ["g"]).collect()}
+    for g, values in groups.items():
+        p, i, n = np.sort(values), np.arange(1, len(values) + 1), len(values)
+        assert found[g] == (n, np.maximum(i / n - p, p - (i - 1) / n).max())
+    assert numbered[0] < sum(map(len, groups.values())) * (1 if cells == 4 else 0.1)
