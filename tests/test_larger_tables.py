@@ -169,6 +169,18 @@ def hashed(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("md5(")
 
 
+def test_bits_cost_one_hash_an_element(spark):
+    """However many bits are read, an element is hashed once and no row is copied for a number of bits; null elements count as rows."""
+    rows = spark.createDataFrame([(7,), (None,), (31,)], "id bigint")
+    checks = experiments.bit_consistency(rows, "id")
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and hashed(checks) == 1
+    words = [int(hashlib.md5(b"%d|0" % i).hexdigest()[:15], 16) for i in (7, 31)]
+    want = [(b, 3, 0, sum((w >> 60 - b) % 1009 for w in words)) for b in range(1, 61)]
+    assert sorted(map(tuple, checks.collect())) == want
+    assert [tuple(r) for r in experiments.bit_consistency(rows.where("id IS NULL"), "id", most=1).collect()] == [(1, 1, None, None)]
+
+
 def test_draws_cost_one_hash_an_element(spark):
     """All generators draw from one hash a step, as they do from hashes of their own."""
     rows = spark.range(20)
