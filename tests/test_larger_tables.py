@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
 from setforge.functions import random
 from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches, stats
-from setforge.plans import experiments, states
+from setforge.plans import experiments, states, tables
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -207,3 +207,21 @@ def test_distance_from_rows_of_few_cells(spark, monkeypatch, cells, sent):
         p, i, n = np.sort(values), np.arange(1, len(values) + 1), len(values)
         assert found[g] == (n, np.maximum(i / n - p, p - (i - 1) / n).max())
     assert numbered[0] < sum(map(len, groups.values())) * (1 if cells == 4 else 0.1)
+
+
+def test_joint_results_read_their_registers(spark, monkeypatch):
+    """Estimators read stored registers instead of hashing all elements again, and truths may be given."""
+    plans = []
+
+    def estimated(cfg, regs, *rest):
+        plans.append(regs._jdf.queryExecution().optimizedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(tables.joint, "joint", estimated)
+    rows = spark.range(60).select((F.col("id") % 3).cast("string").alias("key"), F.floor(F.col("id") / 2).alias("x"))
+    with pytest.raises(StopIteration):
+        tables.joint_results(MinHash(16, scheme="md5"), rows, 1)
+    assert "MapInArrow" not in plans[0]
+    truth = {(r["k1"], r["k2"]): r["q"]["intersection"] for r in tables.true_joint(rows)[3].collect()}
+    sets = {k: {i // 2 for i in range(60) if i % 3 == k} for k in range(3)}
+    assert truth == {(str(a), str(b)): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
