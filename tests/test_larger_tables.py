@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from setforge.config import GeneralizedHyperLogLog, HyperLogLog, HyperMinHash, MinHash, SetSketch1, SetSketch2
 from setforge.functions import random
-from setforge.operators import digests, joint, kernels, packed, points, similarity, sketches, stats
-from setforge.plans import experiments, states, tables
+from setforge.operators import cardinality, digests, joint, kernels, packed, points, similarity, sketches, stats
+from setforge.plans import catalog, experiments, states, tables
 
 COARSE = GeneralizedHyperLogLog(64, 2.0, 6)
 
@@ -118,6 +118,32 @@ def test_many_keys_hold_no_blocks(spark, cfg, monkeypatch):
     assert rows() == loose
 
 
+def test_large_hyperminhash_estimates_as_the_sql_has_them(spark, tmp_path):
+    """Estimates of 2^18 and more stay raw, as the query's SQL leaves them."""
+    duckdb = pytest.importorskip("duckdb")
+    cfg = catalog.HMH
+    # registers of two sets, one beyond 2^18; the estimator alone is compared, on rows that stand for those of elements
+    rows = [(key, reg, (at + reg % 3) << cfg.sub_bits | reg * 3) for key, at in (("large", 14), ("small", 3)) for reg in range(cfg.m)]
+    df = spark.createDataFrame(rows, "key string, reg int, k int")
+    got = {r["key"]: r["estimate"] for r in cardinality.hyperminhash_original(cfg, df, ["key"], corrected=False).collect()}
+    df.write.parquet(str(tmp_path / "r"))
+    sql = catalog.ORACLE_SQL["hyperminhash_cardinality_original"].replace(catalog.registers_sql(catalog.SEGMENT_ORDERS, cfg), f"SELECT * FROM '{tmp_path}/r/*.parquet'")
+    want = dict(duckdb.sql(sql).fetchall())
+    assert want["large"] > 1 << 18 and got == pytest.approx(want, abs=1e-4)
+    whole = {r["key"]: r["estimate"] for r in cardinality.hyperminhash_original(cfg, df, ["key"]).collect()}
+    assert whole["small"] == got["small"] and whole["large"] != got["large"]
+
+
+def test_the_query_leaves_large_estimates_raw(spark, monkeypatch):
+    """The registered query asks for that."""
+    cfg = catalog.HMH
+    rows = [("large", reg, 14 << cfg.sub_bits) for reg in range(cfg.m)]
+    monkeypatch.setattr(catalog, "segment_orders", lambda s, d: None)
+    monkeypatch.setattr(catalog.sketches, "build", lambda *a, **b: spark.createDataFrame(rows, "key string, reg int, k int"))
+    found = catalog.QUERIES["hyperminhash_cardinality_original"](spark, "").collect()[0]["estimate"]
+    assert found == pytest.approx(0.7213 / (1 + 1.079 / cfg.m) * cfg.m * 2**14, rel=1e-6)
+
+
 # ---- many similar pairs --------------------------------------------------------------
 
 
