@@ -164,6 +164,32 @@ def test_pairs_meet_once_and_whole(spark):
     assert all(r["jaccard"] == pytest.approx(ml[r["k1"], r["k2"]], abs=1e-6) for r in found)
 
 
+def test_every_link_is_found(spark, tmp_path):
+    """Similar suppliers are all pairs of enough likeness: equal sets, and those that no band would bring together, whatever the blocks."""
+    cfg, rng = states.SIMILAR, np.random.default_rng(5)
+    core = rng.permutation(states.FAMILIES)
+    held = {s: {int(x) for x in core[rng.random(states.FAMILIES) < 0.72]} for s in range(24)} | {24: {1, 2}}
+    held |= {s + 100: held[s] for s in range(12)} | {s + 200: held[s] for s in range(5)}
+    rows = [(s, x + states.FAMILIES * (s // 100)) for s, own in held.items() for x in own] + [(None, 3), (5, None)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    registers = {s: digests.values(cfg, [str(x).encode() for x in own]).max(axis=0) for s, own in held.items()}
+    n = dict(zip(registers, packed._simple(cfg, np.stack(list(registers.values())))))
+    pairs = [(a, b) for a in held for b in held if a < b]
+    plus, minus = (np.array([f(registers[a], registers[b]) for a, b in pairs]) for f in (lambda x, y: (x > y).sum(), lambda x, y: (x < y).sum()))
+    found = joint.jaccards_ml(cfg.b, [n[a] for a, _ in pairs], [n[b] for _, b in pairs], plus, minus, cfg.m - plus - minus)
+    want = {p: pytest.approx(j, abs=1e-4) for p, j in zip(pairs, found) if j >= states.LEAST}
+    assert 100 < len(want) < len(pairs) - 50 and (0, 100) in want and (24, 100) not in want
+
+    got = states.similar_suppliers(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["k1"], r["k2"]): r["jaccard"] for r in got} == want
+    regs = sketches.build(cfg, spark.read.parquet(f"{tmp_path}/lineitem.parquet").select("l_suppkey", (F.col("l_partkey") % states.FAMILIES).alias("x")), "x", ["l_suppkey"])
+    for block in (3, 1000):
+        some = similarity.every_link(cfg, regs, "l_suppkey", states.LEAST, block).collect()
+        assert len(some) == len(want) and {(r["k1"], r["k2"]) for r in some} == set(want)
+    assert not similarity.every_link(cfg, regs.limit(0), "l_suppkey", 0.5).collect()
+
+
 def test_running_registers_end_where_streams_do(spark):
     """Prefixes that a stream does not reach have no rows; the others are what they were."""
     cfg, grid = GeneralizedHyperLogLog(16, scheme="md5"), [1, 5, 20, 100]
