@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from setforge.config import MinHash, SetSketch1, SetSketch2
 
 #: Digests that are computed together; their words stay inside a core's cache.
 TOGETHER = 1 << 15
+#: A batch whose elements come so often on average gets a table of what they give, of at most so many values.
+REPEATS, TABLE = 2, 1 << 21
 #: Longest message of one block; longer ones are hashed one by one.
 ONE_BLOCK = 55
 #: Constants of RFC 1321.
@@ -143,6 +145,16 @@ def _starts(batch: pa.RecordBatch, columns: int) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+def _given(cfg: MinHash | SetSketch1 | SetSketch2, texts: pa.Array, limits: np.ndarray | None) -> Callable[[int, int], np.ndarray]:
+    """``values`` of a range of the texts; elements that many keys share are hashed once, unless each has its own limit."""
+    different = texts.unique() if limits is None else texts
+    if REPEATS * len(different) <= len(texts) and len(different) * cfg.m <= TABLE:
+        table, number = values(cfg, different.to_pylist()), pc.index_in(texts, different).to_numpy()
+        return lambda lo, hi: table[number[lo:hi]]
+    listed = texts.to_pylist()
+    return lambda lo, hi: values(cfg, listed[lo:hi], None if limits is None else limits[lo:hi])
+
+
 def updates(cfg: MinHash | SetSketch1 | SetSketch2, rows: DataFrame, element: str, keys: list[str], limit: str | None = None) -> DataFrame:
     """(keys..., reg, k), the best of each batch, from rows (keys..., element) without null elements; ``limit`` names a column above which points are left out, and is kept."""
     kept = [*keys, limit] if limit else keys
@@ -159,10 +171,11 @@ def updates(cfg: MinHash | SetSketch1 | SetSketch2, rows: DataFrame, element: st
             starts, at = _starts(batch, len(kept)), len(kept)
             run_of = np.searchsorted(starts, np.arange(batch.num_rows), side="right") - 1
             found = np.full((len(starts), m), cfg.span if wide else -1, np.int64 if wide else np.int32)
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.binary())
             limits = batch.column(at - 1).to_numpy() if limit else None
+            give = _given(cfg, texts, limits)
             for lo in range(0, len(texts), step):
-                k = values(cfg, texts[lo : lo + step], limits[lo : lo + step] if limit else None)
+                k = give(lo, lo + step)
                 own = run_of[lo : lo + step]
                 cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 found[own[cuts]] = better(found[own[cuts]], better.reduceat(k, cuts, axis=0))

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,20 @@ def test_pairs_meet_once_and_whole(spark):
     assert all(r["jaccard"] == pytest.approx(ml[r["k1"], r["k2"]], abs=1e-6) for r in found)
 
 
+def test_shared_elements_are_hashed_once(monkeypatch):
+    """A batch in which keys share elements takes the digests of each once, and gives what each row's own would."""
+    cfg, texts = states.SIMILAR, [b"%d" % (i * i % 37) for i in range(500)]
+    plain, hashed = digests.values(cfg, texts), []
+    monkeypatch.setattr(digests, "values", lambda c, t, limits=None, of=digests.values: hashed.extend(t) or of(c, t, limits))
+    for some in (texts, texts[:3]):
+        hashed.clear()
+        give = digests._given(cfg, pa.array(some, pa.binary()), None)
+        found = np.concatenate([give(lo, lo + 64) for lo in range(0, len(some), 64)])
+        assert np.array_equal(found, plain[: len(some)]) and len(hashed) == len(set(some))
+    limits = np.full(len(texts), 0.01)
+    assert np.array_equal(digests._given(cfg, pa.array(texts, pa.binary()), limits)(0, 500), digests.values(cfg, texts, limits))
+
+
 def test_every_link_is_found(spark, tmp_path):
     """Similar suppliers are all pairs of enough likeness: equal sets, and those that no band would bring together, whatever the blocks."""
     cfg, rng = states.SIMILAR, np.random.default_rng(5)
